@@ -7,9 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivec.llm import bpe, packing
 from lexivec.llm.common import only, spread, table
 from lexivec.llm.quality import BOILERPLATE, MENU, quality_rules
 
+def vocabulary() -> str:
+    """The path of the byte-level vocabulary, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    vocab = vocabulary()
+    coded = bpe.encode(docs, vocab, bpe.publish_lexicon(docs, vocab)).select(
+        F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")).alias("of"), "ids"
+    )
+    back = bpe.decode(coded, vocab, keep=("of",))
+    return back.select("of.*", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return packing.pack(docs, vocabulary())
+
+
 OP4_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -52,7 +75,9 @@ FROM x
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_transducer": op1_bpe_transducer,
     "op4_quality_rules": op4_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
