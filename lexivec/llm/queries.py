@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import bpe, packing
+from lexivec.llm import bpe, packing, simhash
 from lexivec.llm.common import only, spread, table
 from lexivec.llm.quality import BOILERPLATE, MENU, quality_rules
 
@@ -33,6 +33,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary())
 
 
+def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return simhash.near_duplicates(docs).select(
+        "doc_id", F.lpad(F.lower(F.hex(F.get("sig", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 OP4_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_transducer": op1_bpe_transducer,
     "op4_quality_rules": op4_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_simhash_components": op8_simhash_components,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
