@@ -31,6 +31,7 @@ BOILERPLATE = (
 MENU = ("home", "menu", "login", "logout", "search", "contact", "about", "next", "previous", "share", "sitemap", "help")
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words_of(text: Column) -> Column:
@@ -38,18 +39,23 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
-def repeat_words(words: Column) -> Column:
-    """How many words lie in three-word windows that occur twice or more.
+def _window(words: Column, w: Column, i: Column, join) -> Column:
+    return join(w, F.get(words, i + 1), F.get(words, i + 2))
 
-    ``words`` must be a column, not an expression, as it is read several times.
-    Sorting pairs of window and place brings equal windows side by side."""
-    windows = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda w, i: F.struct(
-            F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")
-        ),
+
+def window_hashes(words: Column) -> Column:
+    """A hash of every three-word window; no equal hashes, no equal windows."""
+    heads = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.transform(heads, lambda w, i: _window(words, w, i, F.xxhash64))
+
+
+def sorted_windows(words: Column) -> Column:
+    """Every three-word window with its place, sorted, so that equal windows lie side by side."""
+    heads = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    join = lambda *w: F.concat_ws(" ", *w)
+    return F.sort_array(
+        F.transform(heads, lambda w, i: F.struct(_window(words, w, i, join).alias("w"), i.alias("i")))
     )
-    return windows
 
 
 def quality_rules(
@@ -73,14 +79,17 @@ def quality_rules(
         F.transform(F.split(F.col("_t"), "\n"), lambda x: F.struct(x.alias("line"), _line_words(x).alias("n"))).alias("_l"),
     )
     lines = F.filter(F.col("_l"), lambda x: x["n"] > 0)
-    df = df.select(*keep, "_t", "_w", lines.alias("_l"), repeat_words(F.col("_w")).alias("_win"))
-    # Only texts with an equal window pay for the sort.
-    plain = F.transform(F.col("_win"), lambda x: x["w"])
-    again = F.size(F.array_distinct(plain)) < F.size("_win")
+    low = F.lower("_t")
+    phrase = F.lit(False)
+    for words in BOILERPLATE:
+        phrase = phrase | F.contains(low, F.lit(words))
+    df = df.select(*keep, "_t", "_w", lines.alias("_l"), window_hashes(F.col("_w")).alias("_h"), phrase.alias("_p"))
+    # Only texts with equal hashes pay for the sort, only texts with a phrase for its search in every line.
+    again = F.size(F.array_distinct("_h")) < F.size("_h")
     df = df.select(
         *keep, "_t", "_w", "_l",
-        F.when(again, F.sort_array("_win")).otherwise(F.slice("_win", 1, 0)).alias("_win"),
-        F.filter("_l", lambda x: ~_fails(x["line"], x["n"], long_line, menu_words)).alias("_left"),
+        F.when(again, sorted_windows(F.col("_w"))).alias("_win"),
+        F.filter("_l", lambda x: ~_fails(x["line"], x["n"], F.col("_p"), long_line, menu_words)).alias("_left"),
     )
     hit = F.filter(
         F.transform(
@@ -93,7 +102,7 @@ def quality_rules(
         ),
         lambda i: i.isNotNull(),
     )
-    marked = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.array(i, i + 1, i + 2))))
+    marked = F.array_distinct(F.flatten(F.transform(F.coalesce(hit, F.array().cast("array<int>")), lambda i: F.array(i, i + 1, i + 2))))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     plain_lines = F.transform(F.col("_l"), lambda x: x["line"])
     df = df.select(
@@ -114,17 +123,16 @@ def quality_rules(
 
 
 def _line_words(line: Column) -> Column:
-    """Number of words: word starts are the characters after white space or the line's start."""
-    return F.size(F.filter(F.split(line, SPACES), lambda w: w != "")).cast("long")
+    return F.regexp_count(line, F.lit(WORD)).cast("long")
 
 
 def _marks(line: Column, marks: str) -> Column:
     return F.length(line) - F.length(F.translate(line, marks, ""))
 
 
-def _fails(line: Column, n: Column, long_line: int, menu_words: int) -> Column:
+def _fails(line: Column, n: Column, phrase: Column, long_line: int, menu_words: int) -> Column:
     low = F.lower(line)
-    boilerplate = low.rlike("|".join(BOILERPLATE))
+    boilerplate = phrase & low.rlike("|".join(BOILERPLATE))
     menu = (n <= menu_words) & low.rlike(r"^[^a-z]*((" + "|".join(MENU) + r")[^a-z]*)+$")
     navigation = (3 * _marks(line, "|»›>") >= n) | menu
     punctuation = ((n >= long_line) & (_marks(line, ".!?:;…") == 0)) | (_marks(line, "#*$%&|<>") > n)
