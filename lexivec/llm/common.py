@@ -32,6 +32,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder (compressed, and read by column)."""
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import bpe, packing, simhash
+from lexivec.llm import bpe, packing, secrets, simhash
 from lexivec.llm.common import only, spread, table
 from lexivec.llm.quality import BOILERPLATE, MENU, quality_rules
 
@@ -40,6 +40,18 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    found = secrets.secret_spans(docs)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])],
+        F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 OP4_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -86,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_components": op8_simhash_components,
+    "op9_secret_battery": op9_secret_battery,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
