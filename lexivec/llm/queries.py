@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import bpe, packing, secrets, simhash
+from lexivec.llm import bpe, langid, packing, secrets, simhash, toxicity
 from lexivec.llm.common import only, spread, table
 from lexivec.llm.quality import BOILERPLATE, MENU, quality_rules
 
@@ -52,6 +52,19 @@ def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
+def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(only(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    net = langid.fit(docs, may_learn=~held_out)
+    return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 OP4_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -96,6 +109,8 @@ FROM x
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_transducer": op1_bpe_transducer,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ordinal_toxicity": op5_ordinal_toxicity,
+    "op6_byte_network": op6_byte_network,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_components": op8_simhash_components,
     "op9_secret_battery": op9_secret_battery,
