@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,13 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def row_key(id_column: str, text: str) -> Column:
+    """128 bits that name a row by its id and text, the same in every evaluation, whatever
+    the partitioning; rows that repeat both share it."""
+    i, t = F.col(f"`{id_column}`"), F.col(f"`{text}`")
+    return F.struct(F.xxhash64(i, t).alias("a"), F.xxhash64(F.lit(1), t, F.lit(2), i).alias("b"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when the input has fewer splits than the cluster has cores
     (one small file); at scale the file splits stay as they are, without a shuffle."""

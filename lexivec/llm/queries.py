@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import bpe, langid, packing, secrets, simhash, toxicity
+from lexivec.llm import bpe, langid, linededup, packing, secrets, simhash, toxicity
 from lexivec.llm.common import only, spread, table
 from lexivec.llm.quality import BOILERPLATE, MENU, quality_rules
 
@@ -65,6 +65,13 @@ def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return linededup.drop_recurring_lines(docs).select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 OP4_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_components": op8_simhash_components,
     "op9_secret_battery": op9_secret_battery,
+    "op10_template_line_dedup": op10_template_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
