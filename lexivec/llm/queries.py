@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import bpe, langid, linededup, packing, secrets, simhash, toxicity
+from lexivec.llm import ann, bpe, langid, linededup, packing, secrets, simhash, toxicity, warc
 from lexivec.llm.common import only, spread, table
 from lexivec.llm.quality import BOILERPLATE, MENU, quality_rules
 
@@ -28,6 +28,29 @@ def op1_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("of.*", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0)
+
+
+def op3_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_packages(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Base32 by SQL: five hexadecimal digits are four letters.
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS x FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return packing.pack(docs, vocabulary())
@@ -115,6 +138,8 @@ FROM x
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_transducer": op1_bpe_transducer,
+    "op2_cross_polytope": op2_cross_polytope,
+    "op3_warc_packages": op3_warc_packages,
     "op4_quality_rules": op4_quality_rules,
     "op5_ordinal_toxicity": op5_ordinal_toxicity,
     "op6_byte_network": op6_byte_network,
@@ -124,5 +149,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_line_dedup": op10_template_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_packages": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
 }
