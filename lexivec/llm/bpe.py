@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -67,15 +68,35 @@ class Vocabulary:
         for c, b in symbols.items():
             self.base[b] = vocab[c]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_rank = keys[order], order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.pair_rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
+        # The same as a hash table for numpy: a pair lies at its slot or in the next ones, before an empty one.
+        self.bits = max(8, 2 + len(pairs).bit_length())
+        self.slots = np.full((1 << self.bits) + len(pairs), -1, np.int64)
+        self.ranks_at = np.full(len(self.slots), NONE)
+        for (left, right), rank in self.pair_rank.items():
+            key = left * self.size + right
+            at = self._slot(key)
+            while self.slots[at] >= 0:
+                at += 1
+            self.slots[at], self.ranks_at[at] = key, rank
+
+    def _slot(self, key):
+        return (key * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.bits)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge ranks of pairs, ``NONE`` where a pair doesn't merge."""
         key = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_rank[at], NONE)
+        at = self._slot(key)
+        out = np.where(self.slots[at] == key, self.ranks_at[at], NONE)
+        rest = np.flatnonzero((self.slots[at] >= 0) & (self.slots[at] != key))
+        while len(rest):
+            at[rest] += 1
+            held = self.slots[at[rest]]
+            hit = held == key[rest]
+            out[rest[hit]] = self.ranks_at[at[rest[hit]]]
+            rest = rest[(held >= 0) & ~hit]
+        return out
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian int32 bytes; all short words merge in step."""
@@ -87,24 +108,38 @@ class Vocabulary:
         if not short:
             return out
         ids = self.base[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
-        owner = np.repeat(np.array(short), [len(words[i]) for i in short])
-        while len(ids):
-            rank = np.full(len(ids), NONE)
-            rank[:-1] = np.where(owner[:-1] == owner[1:], self.ranks(ids[:-1], ids[1:]), NONE)
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            count = np.diff(np.r_[first, len(ids)])
+        count = np.array([len(words[i]) for i in short])
+        owner = np.array(short)
+        rank = np.full(len(ids), NONE)  # of the pair that begins here
+        rank[:-1] = self.ranks(ids[:-1], ids[1:])
+        rank[np.cumsum(count) - 1] = NONE
+        while len(owner):
+            first = np.cumsum(count) - count
             lowest = np.minimum.reduceat(rank, first)
             done = lowest == NONE
-            for k in np.flatnonzero(done):
-                out[owner[first[k]]] = ids[first[k] : first[k] + count[k]].tobytes()
+            if done.any():
+                data = ids.tobytes()
+                for w, a, n in zip(owner[done].tolist(), first[done].tolist(), count[done].tolist(), strict=True):
+                    out[w] = data[4 * a : 4 * (a + n)]
+                stay = np.repeat(~done, count)
+                ids, rank, owner, count, lowest = ids[stay], rank[stay], owner[~done], count[~done], lowest[~done]
             # Merges of one rank happen at once; of overlapping pairs (aaa) every second one from the left.
-            at = np.flatnonzero((rank == np.repeat(lowest, count)) & (rank != NONE))
+            at = np.flatnonzero(rank == np.repeat(lowest, count))
+            if not len(at):
+                break
             run = np.arange(len(at)) - np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], np.arange(len(at)), 0))
             at = at[run % 2 == 0]
+            word = np.repeat(np.arange(len(count)), count)
             ids[at] = self.merged[rank[at]]
-            keep = np.repeat(~done, count)
+            keep = np.ones(len(ids), bool)
             keep[at + 1] = False
-            ids, owner = ids[keep], owner[keep]
+            count = count - np.bincount(word[at], minlength=len(count))
+            ids, rank, word = ids[keep], rank[keep], word[keep]
+            at -= np.arange(len(at))  # the places of the merged tokens now
+            fresh = np.unique(np.r_[at, at[at > 0] - 1])
+            fresh = fresh[fresh < len(ids) - 1]
+            rank[fresh] = np.where(word[fresh] == word[fresh + 1], self.ranks(ids[fresh], ids[fresh + 1]), NONE)
+            rank[np.cumsum(count) - 1] = NONE
         return out
 
     def _merge_long(self, word: bytes) -> bytes:
@@ -114,22 +149,27 @@ class Vocabulary:
         before = list(range(-1, len(ids) - 1))
         heap = [(int(r), i) for i, r in enumerate(self.ranks(ids[:-1], ids[1:])) if r != NONE]
         heapq.heapify(heap)
-        ids = ids.tolist()
-        table = dict(zip(self.pair_keys.tolist(), self.pair_rank.tolist(), strict=True))
+        ids, table = ids.tolist(), self.pair_rank
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j < 0 or table.get(ids[i] * self.size + ids[j]) != rank:
+            if ids[i] < 0 or j < 0 or table.get((ids[i], ids[j])) != rank:
                 continue
             ids[i], ids[j], after[i] = int(self.merged[rank]), -1, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := table.get(ids[a] * self.size + ids[b])) is not None:
+                if a >= 0 and b >= 0 and (r := table.get((ids[a], ids[b]))) is not None:
                     heapq.heappush(heap, (r, a))
         return np.array([x for x in ids if x >= 0], np.int32).tobytes()
 
 
+@cache
+def vocabulary_at(path: str) -> Vocabulary:
+    """Read once in a worker process."""
+    return Vocabulary(path)
+
+
 def compile_lexicon(words: dict[bytes, bytes]) -> bytes:
     """A minimal acyclic transducer of ``words`` (to int32 id bytes) as one block of int32 arrays.
 
@@ -218,23 +258,36 @@ class Lexicon:
 
 
 @cache
-def newer_characters() -> str:
+def newer_characters() -> list[str]:
     """Letters and digits by this regex library's Unicode version that are none yet by
     that of the tokenizers library; found by asking both about what Python calls unassigned."""
     split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
     mine = regex.compile(r"[\p{L}\p{N}]").match
     unsure = (chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
     unsure = [c for c in unsure if unicodedata.category(c) == "Cn" and mine(c)]
-    return "".join(c for c in unsure if len(split("!" + c)) == 1)
+    return [c for c in unsure if len(split("!" + c)) == 1]
+
+
+def ranges(characters: Iterable[str]) -> str:
+    """The inside of a character class for sorted characters."""
+    runs: list[list[str]] = []
+    for c in characters:
+        if runs and ord(c) == ord(runs[-1][1]) + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{a}-{b}" for a, b in runs)
 
 
 @cache
 def patterns() -> tuple:
-    """The splitter of words, a search for newer characters, and the splitter of texts that hold them."""
-    rare = "[" + newer_characters() + "]"
+    """The splitter of words, a search for what may be newer characters, and the splitter of texts that hold them."""
+    new = newer_characters()
+    rare = f"[{ranges(new)}]"
     strict = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{rare})")
     strict = strict.replace(r" ?\p{L}+", rf" ?[\p{{L}}--{rare}]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--{rare}]+")
-    return regex.compile(PATTERN).findall, regex.compile(rare).search, regex.compile("(?V1)" + strict).findall
+    maybe = re.compile(f"[{ranges(c for c in new if c < chr(0x10000))}{chr(0x10000)}-{chr(0x10FFFF)}]")
+    return regex.compile(PATTERN).findall, maybe.search, regex.compile("(?V1)" + strict).findall
 
 
 def split_words(texts: Iterable[str], added: Iterable[str] = ()) -> Iterator[list[str]]:
@@ -303,7 +356,7 @@ def encode(
     schema = T.StructType([*frame.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, lex = Vocabulary(vocab_path), Lexicon(SparkFiles.get(lexicon))
+        vocab, lex = vocabulary_at(vocab_path), Lexicon(SparkFiles.get(lexicon))
         special = {k: np.int32(v).tobytes() for k, v in vocab.added.items()}
         known: dict[str, bytes] = {}
         for whole in batches:
@@ -334,11 +387,17 @@ def decode(df: DataFrame, vocab_path: str, *, ids: str = "ids", keep: tuple[str,
     schema = T.StructType([*frame.schema.fields[:-1], T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Vocabulary(vocab_path).tokens
+        tokens = vocabulary_at(vocab_path).tokens
         for whole in batches:
             for batch in pieces(whole, 200):
                 column = batch.column(batch.num_columns - 1)
-                texts = [None if x is None else b"".join(map(tokens.__getitem__, x)).decode("utf-8", "replace") for x in column.to_pylist()]
+                flat = column.flatten().to_numpy().tolist()
+                size = column.value_lengths().to_pylist()  # None of a null
+                ends = np.cumsum([n or 0 for n in size]).tolist()
+                texts = [
+                    None if n is None else b"".join(map(tokens.__getitem__, flat[e - n : e])).decode("utf-8", "replace")
+                    for n, e in zip(size, ends, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], text])
 
     return frame.mapInArrow(run, schema)
