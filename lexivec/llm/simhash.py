@@ -19,6 +19,7 @@ null ids are never the smallest unless all of a component's are null; an empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivec.llm.bpe import pieces
-from lexivec.llm.common import checkpointed
+from lexivec.llm.common import checkpointed, row_key
 
 SPLIT = 6
 BUCKET = 32  # leaf pairs that are compared directly
@@ -247,3 +248,30 @@ def near_duplicates(
     least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
     by_sig = named.join(least, "root").select("sig", "component_id")
     return sigs.join(by_sig, "sig").select(id_column, "sig", "component_id")
+
+
+def deduplicated(
+    docs: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    bits: int = 512,
+    block: int = 16,
+) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the smallest id, nulls last.
+
+    Texts whose shingle sets have Jaccard similarity ``s`` and about the same size make an angle
+    of ``acos(2 s / (1 + s))``, so wide signatures differ in that share of their bits; the budget follows from ``similarity``.
+    ``bits / block`` tables find such a pair if one block agrees (at 0.8: in 95 % of pairs, at 0.9 in over 99 %).
+    Rows that repeat id and text become one."""
+    budget = int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    rows = docs.withColumn("_row", row_key(id_column, text))
+    sigs = checkpointed(signatures(rows, text=text, keep=(id_column, "_row"), shingle=shingle, bits=bits))
+    order = F.struct(F.col(f"`{id_column}`").isNull(), F.col(f"`{id_column}`"), F.col("_row"))
+    vertices = sigs.groupBy("sig").agg(F.min(order).alias("_least"))
+    roots_of = components(trie_links(vertices.select("sig"), bits=bits, budget=budget, tables=blocks(bits, block)))
+    named = vertices.join(roots_of.withColumnRenamed("v", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    kept = named.groupBy("root").agg(F.min("_least").alias("_least")).select("_least._row")
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
