@@ -1,11 +1,14 @@
-"""Name -> (builder, oracle SQL) of every registered query."""
+"""Name -> builder and oracle SQL of every registered query."""
 
 from __future__ import annotations
 
+from lexivec.plans import clusters, corpus, labels, metrics, relational, scoring, sequences, texts, vectors  # noqa: F401
+from lexivec.plans.registry import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: q.build for name, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: q.sql for name, q in QUERIES.items() if q.sql}
