@@ -2,45 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivec.sources.storage import checkpointed, fresh_path, shared_folder, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in
-    ``spark.checkpoint.dir``.  Only where that is unset (tests on one machine)
-    a folder of our own is chosen."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lexivec-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
-
+__all__ = ["checkpointed", "fresh_path", "only", "row_key", "shared_folder", "spread", "table", "written"]
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing ``df`` to the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
 
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder (compressed, and read by column)."""
-    path = fresh_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def row_key(id_column: str, text: str) -> Column:
