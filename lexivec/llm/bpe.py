@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
+from lexivec.llm.common import written
+
 MAX_WORD = 48
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
@@ -329,14 +331,20 @@ def _counts(seen: Counter) -> Iterator[pa.RecordBatch]:
 _FILES: dict[str, str] = {}
 
 
-def publish_lexicon(docs: DataFrame, vocab_path: str, *, text: str = "text", lexicon_words: int = 65_536) -> str:
-    """Compile the most frequent words of ``docs``, give the file to all executors, return its name there."""
-    frequent = (
-        word_counts(docs, text)
-        .where(F.octet_length("word").between(1, MAX_WORD))
-        .orderBy(F.desc("n"), "word")
-        .limit(lexicon_words)
-    )
+def publish_lexicon(docs: DataFrame, vocab_path: str, *, text: str = "text", lexicon_words: int = 196_608) -> str:
+    """Compile the most frequent words of ``docs``, give the file to all executors, return its name there.
+
+    The words are those of a count or more, the smallest such count (in steps of a few per cent) that leaves at most
+    ``lexicon_words``; so no task sends more than its share of them."""
+    counts = written(word_counts(docs, text).where(F.octet_length("word").between(1, MAX_WORD)))
+    step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.log2("n") * 32) - 128)
+    held, least = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():  # some thousand rows at most
+        held += r.words
+        if held > lexicon_words:
+            break
+        least = r.n
+    frequent = counts.where(F.col("n") >= least if least else F.lit(False))
     words = [r.word.encode() for r in frequent.select("word").collect()]  # at most lexicon_words rows
     blob = compile_lexicon(dict(zip(words, Vocabulary(vocab_path).merge(words), strict=True)))
     name = f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}.bin"
