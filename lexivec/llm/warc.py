@@ -71,7 +71,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         "Content-Type: application/http; msgtype=response",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f\x85  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url))
+        head.append("WARC-Target-URI: " + re.sub("[\\x00-\\x20\\x7f\\x85\\u2028\\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url))
     if refers_to is None:
         block = http + payload
     else:
@@ -230,7 +230,9 @@ def read_packages(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield batch_of(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RECORD)
+    # By number, so that tasks stay as many as packages however short the manifest's rows are.
+    tasks = max(1, min(manifest.count(), 20_000))
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(run, RECORD)
 
 
 def archive(pages: DataFrame, *, id_column: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = 0, folder: str | None = None) -> DataFrame:
