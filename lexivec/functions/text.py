@@ -50,9 +50,11 @@ def segments(line: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int = 2, glue: str = "_") -> Column:
-    """Adjacent tokens, glued; empty if there are fewer than ``n``."""
-    heads = F.slice(tokens, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-    return F.transform(heads, lambda t, i: F.concat_ws(glue, t, *[F.get(tokens, i + k) for k in range(1, n)]))
+    """Adjacent tokens, glued; empty if there are fewer than ``n``.  (The lambda reads its own
+    element only: what it captured would be evaluated anew for every element.)"""
+    size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(tokens, k + 1, size).alias(f"t{k}") for k in range(n)])
+    return F.transform(shifted, lambda z: F.concat_ws(glue, *[z[f"t{k}"] for k in range(n)]))
 
 
 def shingles(tokens: Column, n: int = 5) -> Column:
@@ -71,19 +73,6 @@ def merge_pieces(tokens: Column) -> Column:
     return F.filter(F.split(glued, "\x01"), lambda t: t != "")
 
 
-def token_starts(tokens: Column) -> Column:
-    """Offsets of tokens in their text, joined by single spaces."""
-    return F.transform(tokens, lambda t, i: _length_before(tokens, i) + i)
-
-
-def token_ends(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t, i: _length_before(tokens, i) + i + F.length(t))
-
-
-def _length_before(tokens: Column, i: Column) -> Column:
-    return F.coalesce(F.length(F.array_join(F.slice(tokens, 1, i), "")), F.lit(0))
-
-
 def quote_segment(name: Column) -> Column:
     """Percent-encoding of a path segment (a space is %20, not a plus sign)."""
     coded = F.url_encode(name)

@@ -14,6 +14,11 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def with_each(v: Column, value: Column, f) -> Column:
+    """``f(x, value)`` for every x of v.  The value is evaluated once, which a lambda that captured it would not do."""
+    return F.zip_with(v, F.array_repeat(value, F.size(v)), f)
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y))
 
@@ -28,8 +33,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    length = norm(v)
-    return F.transform(doubles(v), lambda x: F.try_divide(x, length))
+    return with_each(doubles(v), norm(v), lambda x, n: F.try_divide(x, n))
 
 
 def padded(v: Column, size: int | Column) -> Column:
@@ -57,12 +61,11 @@ def zero_places(ids: Column) -> Column:
 def log_sum_exp(v: Column) -> Column:
     top = F.array_max(doubles(v))
     top = F.when(top == float("-inf"), 0.0).otherwise(top)
-    return top + F.log(total(F.transform(doubles(v), lambda x: F.exp(x - top))))
+    return top + F.log(total(with_each(doubles(v), top, lambda x, t: F.exp(x - t))))
 
 
 def log_softmax(v: Column) -> Column:
-    whole = log_sum_exp(v)
-    return F.transform(doubles(v), lambda x: x - whole)
+    return with_each(doubles(v), log_sum_exp(v), lambda x, w: x - w)
 
 
 def softmax(v: Column) -> Column:
@@ -79,7 +82,7 @@ def masked_mean(vectors: Column, mask: Column, width: int, denominator: str = "m
     zero = F.array_repeat(F.lit(0.0), width)
     added = F.aggregate(pairs, zero, lambda a, p: F.zip_with(a, doubles(p["v"]), lambda x, y: x + y * p["m"].cast("double")))
     size = F.greatest(total(mask.cast("array<double>")), F.lit(1e-9)) if denominator == "mask" else F.size(mask).cast("double")
-    return F.transform(added, lambda x: x / size)
+    return with_each(added, size, lambda x, n: x / n)
 
 
 def zero_filled(vectors: Column, length: Column, width: int) -> Column:

@@ -61,14 +61,14 @@ def dense_ids(df: DataFrame, order: Sequence[Column | str], name: str = "id", fi
     """Consecutive numbers in an order, without bringing all rows into one task: rows are dealt into ranges,
     counted by range, and numbered within it from the sum of the ranges before."""
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    dealt = df.withColumn("_o", F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)])).repartitionByRange("_o")
-    dealt = dealt.sortWithinPartitions("_o").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    dealt = checkpointed(dealt.drop("_o"))  # range bounds are sampled, so both uses must see the same ranges
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_low"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = before.select("_p", "_before", "_low")  # a row per partition
-    numbered = dealt.join(F.broadcast(before), "_p")
-    return numbered.withColumn(name, F.col("_before") + F.col("_i") - F.col("_low") + first).drop("_p", "_i", "_before", "_low")
+    dealt = df.withColumn("_dense_o", F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)])).repartitionByRange("_dense_o")
+    dealt = dealt.sortWithinPartitions("_dense_o").withColumn("_dense_p", F.spark_partition_id()).withColumn("_dense_i", F.monotonically_increasing_id())
+    dealt = checkpointed(dealt.drop("_dense_o"))  # range bounds are sampled, so both uses must see the same ranges
+    counts = dealt.groupBy("_dense_p").agg(F.count("*").alias("_dense_n"), F.min("_dense_i").alias("_dense_low"))
+    before = counts.withColumn("_dense_before", F.coalesce(F.sum("_dense_n").over(Window.orderBy("_dense_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select("_dense_p", "_dense_before", "_dense_low")  # a row per partition
+    numbered = dealt.join(F.broadcast(before), "_dense_p")
+    return numbered.withColumn(name, F.col("_dense_before") + F.col("_dense_i") - F.col("_dense_low") + first).drop("_dense_p", "_dense_i", "_dense_before", "_dense_low")
 
 
 def batch_ids(df: DataFrame, order: Sequence[Column | str], size: int, name: str = "batch_id") -> DataFrame:

@@ -26,6 +26,14 @@ def script_ranges(spark) -> DataFrame:
     return kinds.withColumn("run", run).groupBy("script", "run").agg(F.min("id").alias("low"), F.max("id").alias("high")).select("low", "high", "script")
 
 
+def token_offsets(df: DataFrame, tokens: Column, keys: list[str]) -> DataFrame:
+    """``keys``, ``pos``, ``start``, ``stop`` of tokens in their text, joined by single spaces; ``keys`` name a text."""
+    flat = df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
+    before = F.coalesce(F.sum(F.length("token")).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.col("pos") + before
+    return flat.select(*keys, "pos", start.alias("start"), (start + F.length("token")).alias("stop"))
+
+
 def vocabulary(df: DataFrame, tokens: Column, order: list[str], specials: tuple[str, ...] = SPECIALS) -> DataFrame:
     """``word`` and ``idx``: specials first, then words by first appearance."""
     seen = df.select(F.posexplode(tokens).alias("pos", "word"), *order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexivec.functions import text as X
 from lexivec.operators import labels as L
 from lexivec.operators import metrics as M
-from lexivec.operators.text import vocabulary
+from lexivec.operators.text import token_offsets, vocabulary
 from lexivec.plans.registry import query, table
 from lexivec.plans.texts import _ROLE, _FIRST, _SPECIAL
 
@@ -90,9 +90,8 @@ h AS (SELECT p.conv_id, p.turn, p.pos, min(s.first) AS first FROM p JOIN s ON p.
 j AS (SELECT p.conv_id, p.turn, p.pos, h.first, lag(h.first) OVER (PARTITION BY p.conv_id, p.turn ORDER BY p.pos) AS b FROM p LEFT JOIN h USING (conv_id, turn, pos))
 SELECT conv_id, turn, pos::INTEGER AS pos, CASE WHEN first IS NULL THEN 'O' WHEN b = first THEN 'I-E' ELSE 'B-E' END AS label FROM j""")
 def label_align(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", X.words(F.col("text")).alias("t"))
-    tokens = rows.select("conv_id", "turn", F.posexplode(F.arrays_zip(X.token_starts(F.col("t")).alias("a"), X.token_ends(F.col("t")).alias("b"))).alias("pos", "x"))
-    tokens = tokens.select("conv_id", "turn", "pos", F.col("x.a").alias("start"), F.col("x.b").alias("stop"))
+    rows = table(spark, d, "conversations")
+    tokens = token_offsets(rows, X.words(F.col("text")), ["conv_id", "turn"])
     spans = rows.select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     spans = spans.select("conv_id", "turn", F.lit("E").alias("type"), (F.col("k") * 40).alias("first"), (F.col("k") * 40 + 15).alias("last"))
     return L.aligned_labels(tokens, spans, ["conv_id", "turn"])

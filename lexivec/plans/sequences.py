@@ -1 +1,43 @@
-"""Queries."""
+"""Sequence and model queries."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lexivec.operators import model, sequence
+from lexivec.operators.vectors import sequences
+from lexivec.plans.registry import query, table
+
+
+@query("T2", "I5", sql="""
+WITH f AS (SELECT vec_id, unnest(embedding)::DOUBLE / 0.1 AS z, unnest(range(64)) AS token FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, token) AS rank FROM f),
+p AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM r WHERE rank <= 8),
+q AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM p),
+b AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM q)
+SELECT vec_id, token::INTEGER AS token, rank::INTEGER AS rank, round(z, 6) AS logit FROM b WHERE b < 0.8 OR rank <= 2""")
+def topk_topp_filter(spark, d):
+    out = sequence.filtered_logits(table(spark, d, "embeddings"), "vec_id", "embedding", top_k=8, top_p=0.8, temperature=0.1, min_keep=2)
+    return out.withColumn("logit", F.round("logit", 6))
+
+
+@query("W7", "I9")
+def viterbi(spark, d):
+    steps = sequences(table(spark, d, "embeddings"), 8)
+    rows = steps.select("seq", F.transform("steps", lambda s: F.slice(s["v"], 1, 5)).alias("emissions"))
+    transitions = np.array([[((i * 3 + j * 5) % 7 - 3) / 20 for j in range(5)] for i in range(5)])
+    return sequence.decode(rows, "seq", "emissions", transitions)
+
+
+@query("I1", "I2", "I4", "K2", "K3", sql=r"""
+WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w FROM conversations),
+h AS (SELECT conv_id, turn, ('0x' || substr(md5(w), 1, 8))::BIGINT % 32 AS b, CASE WHEN ('0x' || substr(md5(w), 9, 1))::INT < 8 THEN 1 ELSE -1 END AS s FROM w),
+c AS (SELECT conv_id, turn, b, sum(s) AS s FROM h GROUP BY ALL)
+SELECT conv_id, turn, count(*) FILTER (WHERE s <> 0) AS places, sum(sign(s) * (b + 1))::BIGINT AS checksum FROM c GROUP BY ALL""")
+def encode_texts(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", model.encode("text", model.EncoderSpec()).alias("v"))
+    signs = F.transform("v", lambda x, i: F.signum(x).cast("long") * (i + 1))
+    return rows.select(
+        "conv_id", "turn", F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("places"), F.aggregate(signs, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum")
+    )

@@ -55,9 +55,7 @@ p AS (SELECT conv_id, turn, t, unnest(range(len(t))) AS pos FROM t)
 SELECT conv_id, turn, pos::INTEGER AS pos, pos + coalesce(list_sum(list_transform(t[1:pos], lambda x: length(x))), 0)::BIGINT AS start,
   pos + coalesce(list_sum(list_transform(t[1:pos + 1], lambda x: length(x))), 0)::BIGINT AS stop FROM p""")
 def token_offsets(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", X.words(F.col("text")).alias("t"))
-    rows = rows.select("conv_id", "turn", F.posexplode(F.arrays_zip(X.token_starts(F.col("t")).alias("a"), X.token_ends(F.col("t")).alias("b"))).alias("pos", "x"))
-    return rows.select("conv_id", "turn", "pos", F.col("x.a").cast("long").alias("start"), F.col("x.b").cast("long").alias("stop"))
+    return O.token_offsets(table(spark, d, "conversations"), X.words(F.col("text")), ["conv_id", "turn"])
 
 
 _PIECES = "flatten(list_transform({0}, lambda w: CASE WHEN length(w) > 6 THEN [w[1:4], '##' || w[5:]] ELSE [w] END))"
