@@ -34,7 +34,7 @@ def articles(lines: DataFrame, order: Sequence[str], text: str, least: int = 2)
     starts = F.when(F.col(text).rlike(TITLE) & ~F.col(text).rlike(SECTION), 1).otherwise(0)
     numbered = running_sum(lines, order, starts, "article").where(F.col("article") > 0)
     is_title = F.col(text).rlike(TITLE) & ~F.col(text).rlike(SECTION)
-    parts = F.array_sort(F.collect_list(F.when(~is_title & (F.length(text) >= least), F.struct(*order, text))))
+    parts = F.sort_array(F.collect_list(F.when(~is_title & (F.length(text) >= least), F.struct(*order, text))))
     sentences = F.flatten(F.transform(parts, lambda p: X.split_sentences(X.strip_format(p[text]))))
     return numbered.groupBy("article").agg(F.max(F.when(is_title, F.btrim(text, F.lit("= ")))).alias("title"), X.join_sentences(sentences).alias("line"))
 
@@ -49,7 +49,7 @@ def blank_separated(lines: DataFrame, order: Sequence[str], text: str) -> DataFr
 def word_documents(rows: DataFrame, id_column: str, word: str) -> DataFrame:
     """Words whose dotted ids share the first two parts are a document, in the order of the third."""
     order = F.substring_index(id_column, ".", -1).cast("int")
-    return rows.groupBy(F.substring_index(id_column, ".", 2).alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), word))), lambda r: r[word]), " ").alias("text"))
+    return rows.groupBy(F.substring_index(id_column, ".", 2).alias("doc")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), word))), lambda r: r[word]), " ").alias("text"))
 
 
 def shard_count(docs: DataFrame, text: str, shard_bytes: int, test_share: float = 0.1) -> DataFrame:

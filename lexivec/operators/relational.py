@@ -38,7 +38,7 @@ def first_per_group(df: DataFrame, keys: Sequence[str], value: str, order: Seque
 
 
 def joined_per_group(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], glue: str = "\n") -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
+    rows = F.sort_array(F.collect_list(F.struct(*order, value)))
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r[value]), glue).alias(value))
 
 

@@ -20,7 +20,7 @@ def character_classes(df: DataFrame, text: str) -> DataFrame:
 def script_ranges(spark) -> DataFrame:
     """``low``, ``high``, ``script``: runs of code points of one script, from the engine's own character data."""
     points = spark.range(0, 0x110000, 1, 8).where("id < 55296 OR id >= 57344")
-    ch = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32BE")
+    ch = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex("id"), 8, "0"))), "UTF-32")
     kinds = points.select("id", X.script(ch).alias("script")).where("script <> 'Unknown'")
     run = F.col("id") - F.row_number().over(Window.partitionBy("script").orderBy("id"))
     return kinds.withColumn("run", run).groupBy("script", "run").agg(F.min("id").alias("low"), F.max("id").alias("high")).select("low", "high", "script")

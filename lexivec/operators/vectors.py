@@ -90,7 +90,7 @@ def sequences(rows: DataFrame, size: int, id_column: str = "vec_id", vector: str
     """Runs of ``size`` ids as one sequence: ``seq`` and ``steps``, ordered structs of ``pos``, ``v`` and ``keep``."""
     pos = F.pmod(F.col(id_column), F.lit(size)).cast("int")
     step = F.struct(pos.alias("pos"), F.col(vector).cast("array<double>").alias("v"), *keep)
-    return rows.groupBy(F.floor(F.col(id_column) / size).alias("seq")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    return rows.groupBy(F.floor(F.col(id_column) / size).alias("seq")).agg(F.sort_array(F.collect_list(step)).alias("steps"))
 
 
 def pooled_mean(steps: Column, mask, width: int, denominator: str = "mask") -> Column:

@@ -123,7 +123,7 @@ FROM documents JOIN labels USING (doc_id)""")
 def aspect_labels(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
     marks = F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic"), F.col("lang"))
-    return rows.select("doc_id", F.array_sort(F.array_distinct(F.array_compact(marks))).alias("labels"))
+    return rows.select("doc_id", F.sort_array(F.array_distinct(F.array_compact(marks))).alias("labels"))
 
 
 @query("S22", sql="""
