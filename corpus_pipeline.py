@@ -14,13 +14,6 @@ from lexivec.llm.common import only, table, written
 from lexivec.llm.queries import vocabulary
 
 
-def _with_text(docs: DataFrame, text, source: DataFrame) -> DataFrame:
-    """The columns of ``docs`` from ``source``, with another text and its length."""
-    size = F.when(text.eqNullSafe(F.col("`text`")), F.col("`n_chars`")).otherwise(F.length(text)) if "n_chars" in docs.columns else None
-    new = {"text": text, "n_chars": size}
-    return source.select(*[(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"`{c}`")) for c in docs.columns])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
@@ -39,8 +32,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = secrets.secret_spans(rows, keep=("row",)).select("row.*", F.col("spans").alias("_spans"))
-    return _with_text(docs, secrets.redacted(F.col("`text`"), F.col("_spans")), found)
+    found = secrets.secret_spans(rows, keep=("row",))
+    found = found.select("row", secrets.redacted(F.col("row.text"), F.col("spans")).alias("clean"), F.size("spans").alias("n"))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n") > 0, F.length("clean")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
