@@ -21,9 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import re
-import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,13 +30,14 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
-from lexivec.llm.common import written
+from lexivec.llm.common import shared_folder, written
 
 MAX_WORD = 48
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -328,7 +327,7 @@ def _counts(seen: Counter) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 20_000]), pa.array(n[i : i + 20_000], pa.int64())], ["word", "n"])
 
 
-_FILES: dict[str, str] = {}
+_FILES: dict[str, str] = {}  # lexicons that this process has written, by name
 
 
 def publish_lexicon(docs: DataFrame, vocab_path: str, *, text: str = "text", lexicon_words: int = 196_608) -> str:
@@ -349,10 +348,13 @@ def publish_lexicon(docs: DataFrame, vocab_path: str, *, text: str = "text", lex
     blob = compile_lexicon(dict(zip(words, Vocabulary(vocab_path).merge(words), strict=True)))
     name = f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}.bin"
     if name not in _FILES:
-        _FILES[name] = os.path.join(tempfile.mkdtemp(prefix="lexivec-"), name)
-        with open(_FILES[name], "wb") as f:
+        folder = shared_folder(docs.sparkSession).rstrip("/")
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/{name}") as f:
             f.write(blob)
-    docs.sparkSession.sparkContext.addFile(_FILES[name])  # the driver serves it to every executor, late ones too
+        _FILES[name] = f"{folder}/{name}"
+    docs.sparkSession.sparkContext.addFile(_FILES[name])  # every executor fetches it once, late ones too
     return name
 
 
