@@ -15,6 +15,11 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="lexivec-")
+    if ":" not in named.split("/")[0]:  # a path of the default file system
+        path = context._jvm.org.apache.hadoop.fs.Path(named)
+        named = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if named.startswith("file:/") and not named.startswith("file://"):
+        named = "file://" + named.removeprefix("file:")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
