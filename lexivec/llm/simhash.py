@@ -9,7 +9,7 @@
    pairs, as far as the error budget allows them, are dealt as groups of their own.
 3. Inside a task, node pairs of the tries are traversed together level by level: differing bits add up, a pair
    over the budget is dropped, as is a pair whose leaves are in one component already.  Small node pairs are
-   compared leaf by leaf.  A task returns the edges of a spanning forest, never all pairs.
+   compared leaf by leaf.  A task returns the edges of a spanning forest, each a pair within the budget, never all pairs.
 4. Large-star and small-star rounds join the forests; each is checkpointed in the shared folder.
 
 Defined cases: a null text is an empty text; a text without words has signature zero and links like any other;
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivec.llm.bpe import pieces
-from lexivec.llm.common import checkpointed, row_key
+from lexivec.llm.common import checkpointed, row_key, written
 
 SPLIT = 6
 BUCKET = 32  # leaf pairs that are compared directly
@@ -41,14 +41,20 @@ def blocks(bits: int, width: int) -> list[tuple[int, int, int]]:
     return [(b // 64, 64 - width - b % 64, width) for b in range(0, bits, width)]
 
 
-def fingerprint(text: str, shingle: int, words: int) -> np.ndarray:
-    """``words`` 64-bit words, the first by XXH64 with seed 42, the others by mixing it."""
+def hashed_shingles(text: str, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of every word shingle."""
     w = text.encode().lower().split()
     if not w:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     s = [b" ".join(x) for x in zip(*(w[i:] for i in range(shingle)), strict=False)] if len(w) >= shingle else [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s))
+    return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s))
+
+
+def majority(h: np.ndarray, words: int) -> np.ndarray:
+    """``words`` 64-bit words, the first by the hashes themselves, the others by mixing them."""
     out = np.zeros(words, np.uint64)
+    if not len(h):
+        return out
     for k in range(words):
         if k:
             x = h + np.uint64((0x9E3779B97F4A7C15 * k) & (2**64 - 1))
@@ -62,6 +68,10 @@ def fingerprint(text: str, shingle: int, words: int) -> np.ndarray:
     return out
 
 
+def fingerprint(text: str, shingle: int, words: int) -> np.ndarray:
+    return majority(hashed_shingles(text, shingle), words)
+
+
 def signatures(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = ("doc_id",), shingle: int = 3, bits: int = 64) -> DataFrame:
     """``keep`` and ``sig``, an array of ``bits`` / 64 longs."""
     frame = docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("_text"))
@@ -107,7 +117,7 @@ def trie_links(distinct: DataFrame, *, bits: int, budget: int, tables: list[tupl
         group = np.stack([table.column(c).to_numpy() for c in ("t", "v", "p", "q", "node")])
         order = np.lexsort([*sig.T[::-1], *group[::-1]])
         sig, group = sig[order], group[:, order]
-        a, b = forest(sig, *roots(group), budget)
+        _, a, b = forest(sig, *roots(group), budget)
         for i in range(0, len(a), 50_000):
             offsets = pa.array(np.arange(len(a[i : i + 50_000]) + 1) * (bits // 64), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -137,14 +147,31 @@ def roots(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.r_[start[same], start[cross]], np.r_[stop[same], stop[cross]], np.r_[start[same], start[cross + 1]], np.r_[stop[same], stop[cross + 1]]
 
 
-def forest(sig: np.ndarray, lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Traverse the node pairs; rows of an edge each from a component's member to its first row."""
-    comp = np.arange(len(sig))
-    # The first row of each root links to what is near it; this lets most of a dense group be skipped later.
-    heads = np.repeat(lo1, hi2 - lo2)
-    leaves = _expand(lo2, hi2)
-    near = np.bitwise_count(sig[heads] ^ sig[leaves]).sum(1, dtype=np.int64) <= budget
-    comp = _union(comp, heads[near], leaves[near])
+def forest(
+    sig: np.ndarray, lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, budget: int, comp: np.ndarray | None = None, size: np.ndarray | None = None, similarity: float = 0.0, every: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Traverse the node pairs: the rows' components, and pairs of rows within the budget that span them.
+
+    ``comp`` are components known before (the first row of each), ``size`` set sizes whose ratio must reach
+    ``similarity``; with ``every``, all pairs between different components are returned and none are merged."""
+    comp = np.arange(len(sig)) if comp is None else comp
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def link(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal comp
+        near = comp[i] != comp[j]
+        if size is not None:
+            near &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        i, j = i[near], j[near]
+        near = np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64) <= budget
+        if every:
+            found.append((i[near], j[near]))
+        else:
+            comp = _union(comp, i[near], j[near], found)
+
+    if not every:
+        # The first row of each root links to what is near it; this lets most of a dense group be skipped later.
+        link(np.repeat(lo1, hi2 - lo2), _expand(lo2, hi2))
     err = np.zeros(len(lo1), np.int64)
     for level in range(64 * sig.shape[1] + 1):
         self_pair = lo1 == lo2
@@ -154,7 +181,8 @@ def forest(sig: np.ndarray, lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, h
             one = (change[hi1 - 1] == change[lo1]) & (change[hi2 - 1] == change[lo2])
             live &= ~(one & (comp[lo1] == comp[lo2]))
         small = live & ((hi1 - lo1) * (hi2 - lo2) <= BUCKET)
-        comp = _compare(sig, comp, lo1[small], hi1[small], lo2[small], hi2[small], budget)
+        for i, j in _leaf_pairs(lo1[small], hi1[small], lo2[small], hi2[small]):
+            link(i, j)
         live &= ~small
         if not live.any():
             break
@@ -170,8 +198,8 @@ def forest(sig: np.ndarray, lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, h
             np.r_[cut2, hi2, hi2, cut2[other]],
             np.r_[err, err, err + 1, err[other] + 1],
         )
-    member = np.flatnonzero(comp != np.arange(len(comp)))
-    return member, comp[member]
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    return comp, a, b
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -179,7 +207,7 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _compare(sig, comp, lo1, hi1, lo2, hi2, budget: int) -> np.ndarray:
+def _leaf_pairs(lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     step = 20_000
     for k in range(0, len(lo1), step):
         s = slice(k, k + step)
@@ -189,21 +217,20 @@ def _compare(sig, comp, lo1, hi1, lo2, hi2, budget: int) -> np.ndarray:
         i = np.repeat(left, width)
         j = np.repeat(np.repeat(lo2[s], n1), width) + np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width)
         keep = i != j
-        i, j = i[keep], j[keep]
-        near = np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64) <= budget
-        comp = _union(comp, i[near], j[near])
-    return comp
+        yield i[keep], j[keep]
 
 
-def _union(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Merge the components of rows i and j; a component's label is its first row."""
+def _union(comp: np.ndarray, i: np.ndarray, j: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Merge the components of rows i and j; a component's label is its first row.  The pairs that merge go to ``found``."""
     while len(i):
         a, b = comp[i], comp[j]
         differ = a != b
         if not differ.any():
             break
         i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-        np.minimum.at(comp, np.maximum(a, b), np.minimum(a, b))
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        found.append((i[first], j[first]))
+        comp[high] = np.minimum(a, b)[first]
         while (comp[comp] != comp).any():
             comp = comp[comp]
     return comp
@@ -250,6 +277,97 @@ def near_duplicates(
     return sigs.join(by_sig, "sig").select(id_column, "sig", "component_id")
 
 
+def set_signatures(rows: DataFrame, *, text: str, keep: Sequence[str], shingle: int, bits: int) -> DataFrame:
+    """``keep``, ``set_id`` (a hash of the set of shingles), ``n`` (its size) and ``sig``, the signature of the set."""
+    frame = rows.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("_text"))
+    added = [T.StructField("set_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType(), False))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for whole in batches:
+                for batch in pieces(whole):
+                    sets = [np.unique(hashed_shingles(t or "", shingle)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                    key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
+                    sig = np.concatenate([majority(s, bits // 64) for s in sets]).view(np.int64)
+                    offsets = pa.array(np.arange(len(sets) + 1) * (bits // 64), pa.int32())
+                    columns = [pa.array(key), pa.array(np.array([len(s) for s in sets], np.int64)), pa.ListArray.from_arrays(offsets, pa.array(sig))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "set_id", "n", "sig"])
+
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:-1], *added]))
+
+
+def shingle_sets(rows: DataFrame, *, text: str, shingle: int) -> DataFrame:
+    """``set_id`` and ``set``, the sorted hashes of the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                sets = [np.unique(hashed_shingles(t or "", shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+                offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["set_id", "set"])
+
+    return rows.select("set_id", F.col(f"`{text}`").alias("_text")).mapInArrow(run, "set_id long, set array<long>")
+
+
+def transposed(sig: np.ndarray) -> np.ndarray:
+    """The same permutation of every signature's bits, by which a block takes bits from all words."""
+    n, words = sig.shape
+    bit = np.unpackbits(sig.astype(">u8").view(np.uint8).reshape(n, 8 * words), axis=1)
+    order = np.arange(64 * words).reshape(words, 64).T.ravel()
+    return np.ascontiguousarray(np.packbits(bit[:, order], axis=1)).view(">u8").astype(np.uint64)
+
+
+def candidate_pairs(vertices: DataFrame, *, bits: int, budget: int, block: int, similarity: float, every: bool = False) -> DataFrame:
+    """``a``, ``b``: pairs of ``set_id`` in different components (``label``) whose signatures differ in ``budget`` bits or
+    fewer and agree in a block of the signature or of the transposed one; ``every`` such pair, or in each task a forest of them."""
+    tables = blocks(bits, block)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                first = batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, bits // 64)
+                for k, sig in enumerate((first, transposed(first))):
+                    offsets = pa.array(np.arange(len(sig) + 1) * (bits // 64), pa.int32())
+                    rows = pa.ListArray.from_arrays(offsets, pa.array(sig.view(np.int64).ravel()))
+                    for t, (word, shift, width) in enumerate(tables):
+                        v = (sig[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                        tv = (v.astype(np.int64) | ((k * len(tables) + t) << width)).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(tv), *batch.columns[:3], rows], ["tv", "set_id", "n", "label", "sig"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, bits // 64)
+        tv, key, size, label = (table.column(c).to_numpy() for c in ("tv", "set_id", "n", "label"))
+        order = np.lexsort([*sig.T[::-1], tv])
+        sig, tv, key, size, label = sig[order], tv[order], key[order], size[order], label[order]
+        _, first, place = np.unique(label, return_index=True, return_inverse=True)
+        lo = np.flatnonzero(np.r_[True, tv[1:] != tv[:-1]])
+        hi = np.r_[lo[1:], len(tv)]
+        comp, found = first[place], []
+        for most in (budget,) if every else (budget // 4, budget // 2, 3 * budget // 4, budget):  # the nearest pairs span first
+            comp, *near = forest(sig, lo, hi, lo, hi, most, comp, size, similarity, every)
+            found.append(near)
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        pairs = np.unique(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])]), axis=1)
+        for k in range(0, pairs.shape[1], 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[:, k : k + 50_000]], ["a", "b"])
+
+    dealt = vertices.select("set_id", "n", "label", "sig").mapInArrow(deal, "tv int, set_id long, n long, label long, sig array<long>")
+    return dealt.repartition("tv").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have Jaccard similarity of ``similarity`` or more, exactly."""
+    one, other = sets.select(F.col("set_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("set_id").alias("b"), F.col("set").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    enough = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-9
+    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
+
+
 def deduplicated(
     docs: DataFrame,
     *,
@@ -262,16 +380,31 @@ def deduplicated(
 ) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the smallest id, nulls last.
 
-    Texts whose shingle sets have Jaccard similarity ``s`` and about the same size make an angle
-    of ``acos(2 s / (1 + s))``, so wide signatures differ in that share of their bits; the budget follows from ``similarity``.
-    ``bits / block`` tables find such a pair if one block agrees (at 0.8: in 95 % of pairs, at 0.9 in over 99 %).
-    Rows that repeat id and text become one."""
-    budget = int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    Groups are components of pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more; every link
+    is checked on the sets.  Candidates come from signatures of the sets: at similarity ``s`` sets of the same size make an
+    angle of ``acos(2 s / (1 + s))`` (others a smaller one) and differ in that share of their bits; the budget adds three standard deviations.
+    ``2 bits / block`` tables find a pair if a block agrees (at 0.8 in about 99 % of pairs of long texts).
+    A forest of candidates is checked first; then every candidate pair that it has not linked, so that a
+    forest's false edge hides no true one.  Rows that repeat id and text become one."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    budget = int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     rows = docs.withColumn("_row", row_key(id_column, text))
-    sigs = checkpointed(signatures(rows, text=text, keep=(id_column, "_row"), shingle=shingle, bits=bits))
+    sigs = set_signatures(rows, text=text, keep=(id_column, "_row"), shingle=shingle, bits=bits)
     order = F.struct(F.col(f"`{id_column}`").isNull(), F.col(f"`{id_column}`"), F.col("_row"))
-    vertices = sigs.groupBy("sig").agg(F.min(order).alias("_least"))
-    roots_of = components(trie_links(vertices.select("sig"), bits=bits, budget=budget, tables=blocks(bits, block)))
-    named = vertices.join(roots_of.withColumnRenamed("v", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    vertices = checkpointed(sigs.groupBy("set_id").agg(F.min(order).alias("_least"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    find = {"bits": bits, "budget": budget, "block": block, "similarity": similarity}
+    pairs = checkpointed(candidate_pairs(vertices.withColumn("label", F.col("set_id")), **find))
+    # Whoever has a candidate is in the forest.
+    met = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    near = checkpointed(vertices.join(met, "set_id").select("set_id", "n", "sig", "_least._row"))
+    sets = written(shingle_sets(rows.join(near.select("_row", "set_id"), "_row").dropDuplicates(["set_id"]), text=text, shingle=shingle))
+    links = checkpointed(similar(pairs, sets, similarity))
+    roots_of = components(links)
+    labelled = near.join(roots_of.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id"))
+    rest = candidate_pairs(labelled, **find, every=True).join(pairs, ["a", "b"], "left_anti")
+    more = checkpointed(similar(rest, sets, similarity))
+    if not more.isEmpty():
+        roots_of = components(links.unionByName(more))
+    named = vertices.join(roots_of.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     kept = named.groupBy("root").agg(F.min("_least").alias("_least")).select("_least._row")
     return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

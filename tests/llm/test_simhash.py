@@ -86,3 +86,18 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r.v: r.root for r in simhash.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, 501: 500}
+
+
+def test_deduplicated_links_at_the_contract_and_not_below(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, near = [], set()
+    for i in range(80):
+        w = [word() for _ in range(404)]
+        m = 44 if i % 2 else 49  # of 400 five-word shingles as many differ: a similarity of 0.802 or 0.782
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-m] + [word() for _ in range(m)]))]
+        if i % 2:
+            near.add(2 * i + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {i for i, _ in rows} - {r.doc_id for r in simhash.deduplicated(df).collect()}
+    assert gone <= near and len(gone) >= 39
