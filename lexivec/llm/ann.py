@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-1. Vectors are scaled by the largest norm and, where norms differ, get one more coordinate that makes
-   all of them unit vectors, so that the largest inner product is the smallest angle.
+1. Vectors fall into bands by norm, an eighth of an octave wide, in which the largest inner product is the smallest
+   angle but for 5 %.  Vectors of bands with ``exact`` vectors or fewer are scored against every query, so that rare norms
+   are never missed; those of larger bands are hashed by their direction.  Widths are searched one by one.
 2. Each of ``tables`` hash functions applies three rounds of random signs and a fast Hadamard transform (a
    pseudo-rotation) and takes the nearest signed axis as the bucket.
-3. A query looks into the ``probes`` buckets of a table whose axes are nearest to it (multiprobe).
+3. A query looks into the buckets of a table whose axes are nearest to it (multiprobe): ``probes`` of
+   128 buckets or fewer, and the same share of more.
 4. Rows are dealt by (table, bucket, chunk): a bucket of over ``chunk`` vectors is split by a hash of the
    ids, and its queries go to every chunk.  Tasks score the candidates they meet in double precision on the original vectors and
    return the best ``k`` of each query; a last aggregation merges those.
@@ -12,8 +14,8 @@
 Every row is indexed; nothing is capped.  Of equal vectors in a chunk only the ``k`` + 1 smallest ids can be
 among the nearest, and only those are scored.
 
-Defined cases: vectors that are null, empty, zero, of another width than the widest, or that hold null or
-non-finite components, and rows with a null id, take no part; of rows that repeat an id the smallest vector counts;
+Defined cases: vectors that are null, empty, zero, or that hold null or non-finite components, and rows with
+a null id, take no part; a query meets vectors of its own width; of rows that repeat an id the smallest vector counts;
 ties go to the smaller id; an empty table gives an empty result.
 """
 
@@ -47,71 +49,82 @@ def rotate(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     return x
 
 
-def unit(x: np.ndarray, largest: float, augmented: bool) -> np.ndarray:
-    """Rows scaled into the unit ball and padded to a power of two, with the coordinate that completes the norm."""
-    x = x / largest
-    width = x.shape[1] + augmented
-    out = np.zeros((len(x), max(2, 1 << (width - 1).bit_length())))
-    out[:, : x.shape[1]] = x
-    if augmented:
-        out[:, x.shape[1]] = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit vectors and padded to a power of two."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    out = np.zeros((len(x), max(2, 1 << (x.shape[1] - 1).bit_length())))
+    out[:, : x.shape[1]] = x / np.sqrt((x * x).sum(1, keepdims=True))
     return out
 
 
+def band(vector: Column) -> Column:
+    """The number of the norm's eighth of an octave."""
+    top = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    square = F.aggregate(F.zip_with(vector, F.array_repeat(top, F.size(vector)), lambda x, m: x.cast("double") / m), F.lit(0.0), lambda a, x: a + x * x)
+    return F.floor(8 * F.log2(top) + 4 * F.log2(square) + 0.5)
+
+
 def usable(vector: Column) -> Column:
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0)
 
 
-def nearest(df: DataFrame, *, is_query: Column, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 10, probes: int = 16, chunk: int = 4096, seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, *, is_query: Column, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 10, probes: int = 16, chunk: int = 4096, exact: int = 4096, seed: int = 11) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the ``k`` nearest found for each query."""
     rows = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{vector}`").alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    rows = checkpointed(rows)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    shape = rows.agg(F.max(F.size("v")).alias("width"), F.max(norm).alias("high"), F.min(norm).alias("low")).first()
-    width, largest = shape.width or 1, shape.high or 1.0
-    augmented = bool(shape.low is not None and shape.low < 0.999 * largest)
-    rows = rows.where(F.size("v") == width)
+    rows = checkpointed(rows.withColumn("w", F.size("v")).withColumn("band", band(F.col("v"))))
+    # At most rows / exact bands are large.
+    large = rows.groupBy("w", "band").agg(F.count("*").alias("n")).where(F.col("n") > exact).select("w", "band", F.lit(True).alias("large"))
+    rows = rows.join(F.broadcast(large), ["w", "band"], "left").select("id", "v", F.coalesce("q", F.lit(False)).alias("q"), "w", F.coalesce("large", F.lit(False)).alias("large"))
     value = rows.schema["v"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                n = batch.num_rows
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, width)
-                q = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
-                data, asks = unit(x, largest, augmented), unit(x[q] * (largest / np.maximum(np.sqrt((x[q] ** 2).sum(1, keepdims=True)), 1e-300)), largest, augmented)
-                for t in range(tables):
-                    r = rotate(data, t, seed)
-                    axis = np.abs(r).argmax(1)
-                    bucket = 2 * axis + (r[np.arange(n), axis] < 0)
-                    r = rotate(asks, t, seed)
-                    near = np.argsort(-np.stack([r, -r], axis=2).reshape(len(q), 2 * r.shape[1]), axis=1, kind="stable")[:, :probes]
-                    take = np.r_[np.arange(n), np.repeat(q, near.shape[1])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(take), t, np.int32)), pa.array(np.r_[bucket, near.ravel()].astype(np.int32)), pa.array(np.arange(len(take)) >= n), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take))],
-                        ["t", "b", "ask", "id", "v"],
-                    )
-
-    dealt = rows.mapInArrow(hashed, f"t int, b int, ask boolean, id long, v {value}")
+            widths = whole.column(3).to_numpy()
+            for width in np.unique(widths):
+                own = whole.take(pa.array(np.flatnonzero(widths == width)))
+                for start in range(0, own.num_rows, 1000):
+                    yield from of_width(own.slice(start, 1000), int(width))
+
+    def of_width(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+        x = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width))
+        q, large = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 4))
+        rare, q, data = np.flatnonzero(~large), np.flatnonzero(q), np.flatnonzero(large)
+
+        def placed(t: int, bucket: np.ndarray, own: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
+            take = pa.array(np.r_[own, asks])
+            columns = [np.full(len(take), width, np.int32), np.full(len(take), t, np.int32), bucket.astype(np.int32), np.arange(len(take)) >= len(own)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(0).take(take), batch.column(1).take(take)], ["w", "t", "b", "ask", "id", "v"])
+
+        yield placed(-1, np.zeros(len(rare) + len(q)), rare, q)
+        for t in range(tables):
+            r = rotate(x, t, seed)
+            axis = np.abs(r[data]).argmax(1)
+            bucket = 2 * axis + (r[data, axis] < 0)
+            share = max(probes, -(-probes * 2 * r.shape[1] // 128))
+            near = np.argsort(-np.stack([r[q], -r[q]], axis=2).reshape(len(q), 2 * r.shape[1]), axis=1, kind="stable")[:, :share]
+            yield placed(t, np.r_[bucket, near.ravel()], data, np.repeat(q, near.shape[1]))
+
+    dealt = rows.mapInArrow(hashed, f"w int, t int, b int, ask boolean, id long, v {value}")
     # One row per bucket, however large the input is.
-    sizes = dealt.where("NOT ask").groupBy("t", "b").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    sizes = sizes.select("t", "b", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
-    dealt = dealt.join(F.broadcast(sizes), ["t", "b"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sizes = dealt.where("NOT ask").groupBy("w", "t", "b").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    sizes = sizes.select("w", "t", "b", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
+    dealt = dealt.join(F.broadcast(sizes), ["w", "t", "b"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     one = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
-    dealt = dealt.select("t", "b", F.explode(F.when(F.col("ask"), every).otherwise(one)).alias("c"), "ask", "id", "v")
+    dealt = dealt.select("w", "t", "b", F.explode(F.when(F.col("ask"), every).otherwise(one)).alias("c"), "ask", "id", "v")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        w = table.column("w").to_numpy()
+        begin = np.cumsum(w) - w
         ids, ask = table.column("id").to_numpy(), table.column("ask").to_numpy()
-        key = np.stack([table.column(c).to_numpy() for c in ("t", "b", "c")])
+        key = np.stack([table.column(c).to_numpy() for c in ("w", "t", "b", "c")])
         order = np.lexsort([ids, ask, *key[::-1]])
         key = key[:, order]
         edge = np.r_[np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]), len(order)]
@@ -121,7 +134,8 @@ def nearest(df: DataFrame, *, is_query: Column, id_column: str = "vec_id", vecto
             own = order[a:b]
             q, x = own[ask[own]], own[~ask[own]]
             if len(q) and len(x):
-                best.append(best_of(ids[q], v[q].astype(float), ids[x], v[x].astype(float), k))
+                vectors = lambda r: flat[begin[r][:, None] + np.arange(w[r[0]])].astype(float)
+                best.append(best_of(ids[q], vectors(q), ids[x], vectors(x), k))
                 held += len(best[-1][0])
                 if held > 500_000:
                     best = [merged(best, k)]
@@ -132,7 +146,7 @@ def nearest(df: DataFrame, *, is_query: Column, id_column: str = "vec_id", vecto
                 s = slice(i, i + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(query[s]), pa.array(vec[s]), pa.array(score[s])], ["query_id", "vec_id", "score"])
 
-    found = dealt.repartition("t", "b", "c").mapInArrow(scored, "query_id long, vec_id long, score double").distinct()
+    found = dealt.repartition("w", "t", "b", "c").mapInArrow(scored, "query_id long, vec_id long, score double").distinct()
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

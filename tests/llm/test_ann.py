@@ -80,3 +80,16 @@ def test_hadamard_is_a_rotation():
     x = np.random.default_rng(2).normal(size=(5, 32))
     y = ann.rotate(x, 3, 11)
     assert np.allclose(x @ x.T, y @ y.T)
+
+
+@pytest.mark.parametrize("norms", ["outlier", "lognormal"])
+def test_recall_with_unequal_norms_and_a_wider_row(spark, norms):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    x *= rng.lognormal(size=(8000, 1)) if norms == "lognormal" else np.where(np.arange(8000) == 7, 100, 1)[:, None]
+    vectors = dict(enumerate(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()] + [(9000, [1.0] * 65)], "vec_id long, embedding array<double>")
+    got = by_query(ann.nearest(df, is_query=F.col("vec_id") % 200 == 0).collect())
+    want = brute(vectors, range(0, 8000, 200), 20)
+    assert set(got) == set(want) and recall(got, want) >= 0.9
