@@ -93,3 +93,8 @@ def test_recall_with_unequal_norms_and_a_wider_row(spark, norms):
     got = by_query(ann.nearest(df, is_query=F.col("vec_id") % 200 == 0).collect())
     want = brute(vectors, range(0, 8000, 200), 20)
     assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
+def test_a_wider_row_hides_no_other(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0] * 3)], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in ann.nearest(df, is_query=F.col("vec_id") % 20 == 0).collect()] == [(0, 1)]
