@@ -174,23 +174,24 @@ def forest(
         link(np.repeat(lo1, hi2 - lo2), _expand(lo2, hi2))
     err = np.zeros(len(lo1), np.int64)
     for level in range(64 * sig.shape[1] + 1):
-        self_pair = lo1 == lo2
-        live = (err <= budget) & (hi1 > lo1) & (hi2 > lo2) & ~(self_pair & (hi1 - lo1 < 2))
-        change = np.r_[0, np.cumsum(comp[1:] != comp[:-1])] if len(comp) else comp
-        if live.any():
-            one = (change[hi1 - 1] == change[lo1]) & (change[hi2 - 1] == change[lo2])
-            live &= ~(one & (comp[lo1] == comp[lo2]))
-        small = live & ((hi1 - lo1) * (hi2 - lo2) <= BUCKET)
+        live = (err <= budget) & (hi1 > lo1) & (hi2 > lo2) & ((lo1 != lo2) | (hi1 - lo1 > 1))
+        lo1, hi1, lo2, hi2, err = (x[live] for x in (lo1, hi1, lo2, hi2, err))
+        if not len(lo1):
+            break
+        # From here on every node has a row, so its first and last index are rows.
+        change = np.r_[0, np.cumsum(comp[1:] != comp[:-1])]
+        done = (change[hi1 - 1] == change[lo1]) & (change[hi2 - 1] == change[lo2]) & (comp[lo1] == comp[lo2])
+        small = ~done & ((hi1 - lo1) * (hi2 - lo2) <= BUCKET)
         for i, j in _leaf_pairs(lo1[small], hi1[small], lo2[small], hi2[small]):
             link(i, j)
-        live &= ~small
+        live = ~done & ~small
         if not live.any():
             break
-        lo1, hi1, lo2, hi2, err, self_pair = (x[live] for x in (lo1, hi1, lo2, hi2, err, self_pair))
+        lo1, hi1, lo2, hi2, err = (x[live] for x in (lo1, hi1, lo2, hi2, err))
         bit = (sig[:, level // 64] >> np.uint64(63 - level % 64)) & np.uint64(1)
         ones = np.r_[0, np.cumsum(bit.astype(np.int64))]
         cut1, cut2 = hi1 - (ones[hi1] - ones[lo1]), hi2 - (ones[hi2] - ones[lo2])
-        other = ~self_pair  # a node with itself has one mixed child pair, not two
+        other = lo1 != lo2  # a node with itself has one mixed child pair, not two
         lo1, hi1, lo2, hi2, err = (
             np.r_[lo1, cut1, lo1, cut1[other]],
             np.r_[cut1, hi1, cut1, hi1[other]],

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from lexivec.llm import simhash
@@ -101,3 +102,47 @@ def test_deduplicated_links_at_the_contract_and_not_below(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     gone = {i for i, _ in rows} - {r.doc_id for r in simhash.deduplicated(df).collect()}
     assert gone <= near and len(gone) >= 39
+
+
+def brute_groups(sig, budget):
+    n = len(sig)
+    near = np.array([[int(np.bitwise_count(sig[i] ^ sig[j]).sum()) <= budget for j in range(n)] for i in range(n)])
+    root = np.arange(n)
+    while True:
+        low = np.array([root[near[i]].min() for i in range(n)])
+        if (low == root).all():
+            return root
+        root = low
+
+
+@pytest.mark.parametrize("words,budget,flips", [(1, 3, 3), (1, 3, 40), (8, 77, 40), (8, 77, 300)])
+@pytest.mark.parametrize("last", [0, 1])
+def test_forest_equals_all_pairs(words, budget, flips, last):
+    """One node of 2 to 300 signatures, dense or random; the last node in row order is empty or not on either side."""
+    rng = np.random.default_rng([words, flips, last])
+    for n in (2, 3, 6, 7, 31, 33, 60, 300):
+        bit = rng.integers(0, 2, (max(1, n // 20), 64 * words)).astype(np.uint8)[rng.integers(0, max(1, n // 20), n)]
+        for row in bit:
+            row[rng.integers(0, 64 * words, rng.integers(0, flips + 1))] ^= 1
+        bit[:, :16] = last  # an empty sibling before or after the node
+        sig = np.unique(np.packbits(bit, axis=1).view(">u8").astype(np.uint64), axis=0)
+        whole = np.array([0]), np.array([len(sig)])
+        comp, a, b = simhash.forest(sig, *whole, *whole, budget)
+        assert (np.bitwise_count(sig[a] ^ sig[b]).sum(1) <= budget).all()
+        want = brute_groups(sig, budget)
+        assert [sorted(np.flatnonzero(comp == c)) for c in np.unique(comp)] == [sorted(np.flatnonzero(want == c)) for c in np.unique(want)]
+        assert len(a) == len(sig) - len(np.unique(want))
+        _, a, b = simhash.forest(sig, *whole, *whole, budget, every=True)
+        pairs = {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist())}
+        assert len(pairs) == sum(int(np.bitwise_count(sig[i] ^ sig[j]).sum()) <= budget for i in range(len(sig)) for j in range(i))
+
+
+def test_forest_of_two_nodes_and_a_crowd():
+    rng = np.random.default_rng(5)
+    sig = np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64)[:, None], axis=0)
+    half = len(sig) // 2
+    comp, a, b = simhash.forest(sig, np.array([0]), np.array([half]), np.array([half]), np.array([len(sig)]), 18)
+    near = np.bitwise_count(sig[:half] ^ sig[half:].T) <= 18
+    assert {(i, j + half) for i, j in zip(*np.nonzero(near))} >= {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())}
+    i, j = np.nonzero(near)
+    assert (comp[i] == comp[j + half]).all()
