@@ -83,9 +83,7 @@ def signatures(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = ("d
                 for batch in pieces(whole):
                     texts = batch.column(batch.num_columns - 1).to_pylist()
                     sig = np.concatenate([fingerprint(t or "", shingle, bits // 64) for t in texts]).view(np.int64)
-                    offsets = pa.array(np.arange(len(texts) + 1) * (bits // 64), pa.int32())
-                    column = pa.ListArray.from_arrays(offsets, pa.array(sig))
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], [*batch.schema.names[:-1], "sig"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(sig.reshape(-1, bits // 64))], [*batch.schema.names[:-1], "sig"])
 
     return frame.mapInArrow(run, schema)
 
@@ -119,10 +117,7 @@ def trie_links(distinct: DataFrame, *, bits: int, budget: int, tables: list[tupl
         sig, group = sig[order], group[:, order]
         _, a, b = forest(sig, *roots(group), budget)
         for i in range(0, len(a), 50_000):
-            offsets = pa.array(np.arange(len(a[i : i + 50_000]) + 1) * (bits // 64), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(offsets, pa.array(sig[x[i : i + 50_000]].view(np.int64).ravel())) for x in (a, b)], ["a", "b"]
-            )
+            yield pa.RecordBatch.from_arrays([_lists(sig[x[i : i + 50_000]]) for x in (a, b)], ["a", "b"])
 
     return dealt.repartition("t", "v", "p", "q").mapInArrow(run, schema)
 
@@ -148,12 +143,13 @@ def roots(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def forest(
-    sig: np.ndarray, lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, budget: int, comp: np.ndarray | None = None, size: np.ndarray | None = None, similarity: float = 0.0, every: bool = False
+    sig: np.ndarray, lo1: np.ndarray, hi1: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, budget: int, comp: np.ndarray | None = None, size: np.ndarray | None = None, similarity: float = 0.0, every: bool = False, wide: tuple[np.ndarray, int] | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Traverse the node pairs: the rows' components, and pairs of rows within the budget that span them.
 
     ``comp`` are components known before (the first row of each), ``size`` set sizes whose ratio must reach
-    ``similarity``; with ``every``, all pairs between different components are returned and none are merged."""
+    ``similarity``; with ``every``, all pairs between different components are returned and none are merged.
+    ``wide`` are longer signatures of the rows and their budget, which a pair must keep as well."""
     comp = np.arange(len(sig)) if comp is None else comp
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -164,6 +160,9 @@ def forest(
             near &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
         i, j = i[near], j[near]
         near = np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64) <= budget
+        if wide:
+            i, j = i[near], j[near]
+            near = np.bitwise_count(wide[0][i] ^ wide[0][j]).sum(1, dtype=np.int64) <= wide[1]
         if every:
             found.append((i[near], j[near]))
         else:
@@ -241,14 +240,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``v``, ``root`` (the smallest vertex of v's component) for every vertex of ``edges`` (a, b).
 
     Large-star and small-star in turn (Kiveris et al. 2014): each needs minima by vertex only, which
-    are aggregated before the shuffle, and a join that Spark can split where a vertex is crowded."""
+    are aggregated before the shuffle and written.  Both sides of the join are then plain exchanges, and Spark splits
+    the rows of a crowded vertex or broadcasts the minima where they are small."""
     edges = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpointed(large)
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(low.withColumnRenamed("m", "b"))
         edges = checkpointed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -290,24 +291,26 @@ def set_signatures(rows: DataFrame, *, text: str, keep: Sequence[str], shingle:
                     sets = [np.unique(hashed_shingles(t or "", shingle)) for t in batch.column(batch.num_columns - 1).to_pylist()]
                     key = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
                     sig = np.concatenate([majority(s, bits // 64) for s in sets]).view(np.int64)
-                    offsets = pa.array(np.arange(len(sets) + 1) * (bits // 64), pa.int32())
-                    columns = [pa.array(key), pa.array(np.array([len(s) for s in sets], np.int64)), pa.ListArray.from_arrays(offsets, pa.array(sig))]
+                    columns = [pa.array(key), pa.array(np.array([len(s) for s in sets], np.int64)), _lists(sig.reshape(-1, bits // 64))]
                     yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "set_id", "n", "sig"])
 
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:-1], *added]))
 
 
-def shingle_sets(rows: DataFrame, *, text: str, shingle: int) -> DataFrame:
-    """``set_id`` and ``set``, the sorted hashes of the shingles."""
+def shingle_sets(rows: DataFrame, *, text: str, shingle: int, bits: int) -> DataFrame:
+    """``set_id``, ``set``, the sorted hashes of the shingles, and ``wide``, a signature of ``bits`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole):
-                sets = [np.unique(hashed_shingles(t or "", shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
-                offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["set_id", "set"])
+        with np.errstate(over="ignore"):
+            for whole in batches:
+                for batch in pieces(whole):
+                    sets = [np.unique(hashed_shingles(t or "", shingle)) for t in batch.column(1).to_pylist()]
+                    offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
+                    wide = np.stack([majority(s, bits // 64) for s in sets])
+                    column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), column, _lists(wide)], ["set_id", "set", "wide"])
 
-    return rows.select("set_id", F.col(f"`{text}`").alias("_text")).mapInArrow(run, "set_id long, set array<long>")
+    return rows.select("set_id", F.col(f"`{text}`").alias("_text")).mapInArrow(run, "set_id long, set array<long>, wide array<long>")
 
 
 def transposed(sig: np.ndarray) -> np.ndarray:
@@ -318,10 +321,16 @@ def transposed(sig: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bit[:, order], axis=1)).view(">u8").astype(np.uint64)
 
 
-def candidate_pairs(vertices: DataFrame, *, bits: int, budget: int, block: int, similarity: float, every: bool = False) -> DataFrame:
+def candidate_pairs(
+    vertices: DataFrame, *, bits: int, budget: int, block: int, similarity: float, every: bool = False, wide: tuple[int, int] | None = None, max_node: int = 200_000
+) -> DataFrame:
     """``a``, ``b``: pairs of ``set_id`` in different components (``label``) whose signatures differ in ``budget`` bits or
-    fewer and agree in a block of the signature or of the transposed one; ``every`` such pair, or in each task a forest of them."""
+    fewer and agree in a block of the signature or of the transposed one; ``every`` such pair, or in each task a forest of them.
+
+    ``wide`` are the length and the budget of a column ``wide`` of longer signatures, which a pair must keep as well.
+    A block value with over ``max_node`` rows is cut into chunks by a hash of the id, and every pair of chunks is a group of its own."""
     tables = blocks(bits, block)
+    columns = ["set_id", "n", "label", "sig", *(["wide"] if wide else [])]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -329,36 +338,68 @@ def candidate_pairs(vertices: DataFrame, *, bits: int, budget: int, block: int,
                 batch = whole.slice(start, 2000)
                 first = batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, bits // 64)
                 for k, sig in enumerate((first, transposed(first))):
-                    offsets = pa.array(np.arange(len(sig) + 1) * (bits // 64), pa.int32())
-                    rows = pa.ListArray.from_arrays(offsets, pa.array(sig.view(np.int64).ravel()))
+                    rows = _lists(sig)
                     for t, (word, shift, width) in enumerate(tables):
                         v = (sig[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                         tv = (v.astype(np.int64) | ((k * len(tables) + t) << width)).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(tv), *batch.columns[:3], rows], ["tv", "set_id", "n", "label", "sig"])
+                        yield pa.RecordBatch.from_arrays([pa.array(tv), *batch.columns[:3], rows, *batch.columns[4:]], ["tv", *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        sig = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, bits // 64)
-        tv, key, size, label = (table.column(c).to_numpy() for c in ("tv", "set_id", "n", "label"))
-        order = np.lexsort([*sig.T[::-1], tv])
-        sig, tv, key, size, label = sig[order], tv[order], key[order], size[order], label[order]
+        signatures_of = lambda c, length: table.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, length // 64)
+        sig = signatures_of("sig", bits)
+        key, size, label = (table.column(c).to_numpy() for c in ("set_id", "n", "label"))
+        group = np.stack([table.column(c).to_numpy() for c in ("tv", "tv", "p", "q", "node")])
+        order = np.lexsort([*sig.T[::-1], *group[::-1]])
+        sig, group, key, size, label = sig[order], group[:, order], key[order], size[order], label[order]
+        longer = (signatures_of("wide", wide[0])[order], wide[1]) if wide else None
         _, first, place = np.unique(label, return_index=True, return_inverse=True)
-        lo = np.flatnonzero(np.r_[True, tv[1:] != tv[:-1]])
-        hi = np.r_[lo[1:], len(tv)]
+        nodes = roots(group)
         comp, found = first[place], []
         for most in (budget,) if every else (budget // 4, budget // 2, 3 * budget // 4, budget):  # the nearest pairs span first
-            comp, *near = forest(sig, lo, hi, lo, hi, most, comp, size, similarity, every)
+            comp, *near = forest(sig, *nodes, most, comp, size, similarity, every, longer)
             found.append(near)
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         pairs = np.unique(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])]), axis=1)
         for k in range(0, pairs.shape[1], 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[:, k : k + 50_000]], ["a", "b"])
 
-    dealt = vertices.select("set_id", "n", "label", "sig").mapInArrow(deal, "tv int, set_id long, n long, label long, sig array<long>")
-    return dealt.repartition("tv").mapInArrow(run, "a long, b long").distinct()
+    kinds = ["tv int", "set_id long", "n long", "label long", "sig array<long>", *(["wide array<long>"] if wide else [])]
+    dealt = vertices.select(*columns).mapInArrow(deal, ", ".join(kinds))
+    crowded = _crowded(vertices, tables, max_node)
+    dealt = dealt.join(F.broadcast(crowded), "tv", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
+    dealt = dealt.withColumn("node", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(*["tv", *columns], "node", F.least("node", "other").alias("p"), F.greatest("node", "other").alias("q"))
+    return dealt.repartition("tv", "p", "q").mapInArrow(run, "a long, b long").distinct()
+
+
+def _lists(sig: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * sig.shape[1], pa.int32()), pa.array(sig.view(np.int64).ravel()))
+
+
+def _crowded(vertices: DataFrame, tables: list[tuple[int, int, int]], max_node: int) -> DataFrame:
+    """``tv`` and ``parts`` of the block values with many rows: all with over 2 ``max_node``.
+
+    A task names the values that it holds more than its share of ``max_node`` of, so what it keeps back is less than ``max_node`` in all."""
+    most, share = 2 * len(tables) << tables[0][2], max(1, max_node // vertices.rdd.getNumPartitions())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(most, np.int32)  # one for each block value that there can be
+        for batch in batches:
+            first = batch.column(0).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            for k, sig in enumerate((first, transposed(first)) if len(first) else ()):
+                for t, (word, shift, width) in enumerate(tables):
+                    v = ((sig[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    np.add.at(seen, v | ((k * len(tables) + t) << width), 1)
+        at = np.flatnonzero(seen >= share)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at].astype(np.int64))], ["tv", "k"])
+
+    counts = vertices.select("sig").mapInArrow(count, "tv int, k long").groupBy("tv").agg(F.sum("k").alias("k"))
+    return counts.where(F.col("k") > max_node).select("tv", F.ceil(F.col("k") / max_node).cast("int").alias("parts"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -369,6 +410,13 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
 
 
+def budget_of(similarity: float, bits: int) -> int:
+    """Bits that signatures of sets of this similarity may differ in: sets of one size at similarity ``s`` make an angle of
+    ``acos(2 s / (1 + s))``, others a smaller one, and differ in that share of their bits; three standard deviations are added."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+
+
 def deduplicated(
     docs: DataFrame,
     *,
@@ -377,32 +425,32 @@ def deduplicated(
     shingle: int = 5,
     similarity: float = 0.8,
     bits: int = 512,
+    wide: int = 2048,
     block: int = 16,
+    max_node: int = 200_000,
 ) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the smallest id, nulls last.
 
     Groups are components of pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more; every link
-    is checked on the sets.  Candidates come from signatures of the sets: at similarity ``s`` sets of the same size make an
-    angle of ``acos(2 s / (1 + s))`` (others a smaller one) and differ in that share of their bits; the budget adds three standard deviations.
+    is checked on the sets.  Candidates come from signatures of the sets within ``budget_of`` the similarity;
     ``2 bits / block`` tables find a pair if a block agrees (at 0.8 in about 99 % of pairs of long texts).
-    A forest of candidates is checked first; then every candidate pair that it has not linked, so that a
-    forest's false edge hides no true one.  Rows that repeat id and text become one."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    budget = int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+    A forest of candidates is checked first; then every candidate pair that it has not linked and that keeps the budget of
+    ``wide`` bits as well, so that a forest's false edge hides no true one.  Rows that repeat id and text become one."""
     rows = docs.withColumn("_row", row_key(id_column, text))
     sigs = set_signatures(rows, text=text, keep=(id_column, "_row"), shingle=shingle, bits=bits)
     order = F.struct(F.col(f"`{id_column}`").isNull(), F.col(f"`{id_column}`"), F.col("_row"))
     vertices = checkpointed(sigs.groupBy("set_id").agg(F.min(order).alias("_least"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    find = {"bits": bits, "budget": budget, "block": block, "similarity": similarity}
+    find = {"bits": bits, "budget": budget_of(similarity, bits), "block": block, "similarity": similarity, "max_node": max_node}
     pairs = checkpointed(candidate_pairs(vertices.withColumn("label", F.col("set_id")), **find))
     # Whoever has a candidate is in the forest.
     met = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     near = checkpointed(vertices.join(met, "set_id").select("set_id", "n", "sig", "_least._row"))
-    sets = written(shingle_sets(rows.join(near.select("_row", "set_id"), "_row").dropDuplicates(["set_id"]), text=text, shingle=shingle))
+    sets = written(shingle_sets(rows.join(near.select("_row", "set_id"), "_row").dropDuplicates(["set_id"]), text=text, shingle=shingle, bits=wide))
     links = checkpointed(similar(pairs, sets, similarity))
     roots_of = components(links)
-    labelled = near.join(roots_of.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id"))
-    rest = candidate_pairs(labelled, **find, every=True).join(pairs, ["a", "b"], "left_anti")
+    labelled = near.join(sets.select("set_id", "wide"), "set_id").join(roots_of.withColumnRenamed("v", "set_id"), "set_id", "left")
+    labelled = checkpointed(labelled.select("set_id", "n", "sig", "wide", F.coalesce("root", "set_id").alias("label")))
+    rest = candidate_pairs(labelled, **find, every=True, wide=(wide, budget_of(similarity, wide))).join(pairs, ["a", "b"], "left_anti")
     more = checkpointed(similar(rest, sets, similarity))
     if not more.isEmpty():
         roots_of = components(links.unionByName(more))
