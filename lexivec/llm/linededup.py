@@ -2,17 +2,19 @@
 
 1. Lines become token sequences; tokens with a digit are a variable field.  The tree's levels are the token count and the
    ``depth`` leading tokens; a line's leaf is their hash.  Per line only hashes of tokens travel on.
-2. Equal lines are counted before the shuffle.  Leaves that occur in ``min_docs`` lines or more are parsed: lines,
-   most frequent first, join the most similar template of their leaf (same tokens in
-   ``similarity`` of the places or more), which generalises the places that differ, or start their own.
-   A leaf of over ``max_leaf`` different lines is split by its next three tokens, so that no task holds it whole.
-3. A template recurs if lines in ``min_docs`` documents or more match it.  A document more than half of whose tokens
-   lie in recurring templates is a copy of others: it is left whole to document deduplication and is no
-   witness.  Templates that recur without such documents are dropped from all others.
+2. Equal lines are counted before the shuffle.  In leaves that occur in ``min_docs`` lines or more, lines that have the same
+   tokens in ``similarity`` of the places or more belong to one template, and so do lines that such links connect; the template
+   generalises the places that differ.  Two linked lines of n tokens differ in ``k = n - ceil(similarity n)`` places or fewer, so
+   they agree in one of ``k + 1`` bands of places: lines are dealt by band, and no task holds a leaf whole.  The
+   result depends neither on the order of the lines nor on how a leaf is split.
+3. A template recurs if lines in ``min_docs`` documents or more match it; every document is a witness.  Recurring templates are
+   dropped from all documents but copies: a document with ``copy_share`` or more of its tokens in lines that one other
+   document has too is a copy, as is that other one.  Both are left whole to document deduplication, which keeps one of
+   them; dropping their lines would leave nothing of the text anywhere.
 
 Defined cases: a null text stays null, an empty one empty; lines without a token are kept; rows that repeat id and text
-count as one document; ties between templates go to the older one; an empty table gives an empty result;
-clashing columns of the input are kept, the operator's own names begin with ``_``.
+count as one document; an empty table gives an empty result; clashing columns of the input are kept, the
+operator's own names begin with ``_``.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.common import checkpointed, row_key, spread, written
+from lexivec.llm.simhash import components
 
 SPACES = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
@@ -42,92 +45,111 @@ def line_table(docs: DataFrame, text: str, depth: int) -> DataFrame:
     return lines.select("_row", "pos", F.size("tok").alias("n"), leaf.alias("leaf"), F.xxhash64("tok").alias("h"), "tok")
 
 
-def parse_leaf(tokens: np.ndarray, similarity: float) -> np.ndarray:
-    """The template (index of its first line) of each line; rows are lines of one length, most frequent first."""
-    templates, live, first = tokens[:1].copy(), np.ones((1, tokens.shape[1]), bool), [0]
-    of = np.zeros(len(tokens), np.int64)
-    for i in range(1, len(tokens)):
-        same = (templates == tokens[i]) & live
-        score = same.sum(1)
-        best = int(score.argmax())
-        if score[best] >= similarity * tokens.shape[1]:
-            live[best] = same[best]
-        else:
-            best = len(first)
-            first.append(i)
-            templates, live = np.r_[templates, tokens[i : i + 1]], np.r_[live, np.ones((1, tokens.shape[1]), bool)]
-        of[i] = first[best]
-    return of
-
-
-def likely_in(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Rows whose leaf may be one of ``leaves``, by a bitmap of ``MAP_WORDS`` longs: a broadcast that
+def likely_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` may be one of ``keys``, by a bitmap of ``MAP_WORDS`` longs: a broadcast that
     never grows.  Where it fills up, more rows stay; none is lost."""
-    word = F.pmod(F.shiftright("leaf", 6), F.lit(MAP_WORDS)).alias("_word")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("leaf").bitwiseAND(F.lit(63)).cast("int"))
-    bits = leaves.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    word = F.pmod(F.shiftright(key, 6), F.lit(MAP_WORDS)).alias("_word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))
+    bits = keys.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
     near = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
     return near.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
-def templates(lines: DataFrame, *, min_docs: int, similarity: float, depth: int, max_leaf: int) -> DataFrame:
-    """``h`` of every line that belongs to a template of ``min_docs`` lines or more, and the template's ``tid``."""
-    busy = checkpointed(lines.groupBy("leaf").agg(F.count("*").alias("k")).where(F.col("k") >= min_docs).select("leaf"))
-    lines = likely_in(lines, busy)
-    unique = lines.groupBy("leaf", "h").agg(F.count("*").alias("lines"), F.first("tok").alias("tok")).join(busy, "leaf", "left_semi")
-    # At most rows / max_leaf leaves are crowded.
-    crowded = lines.groupBy("leaf").agg(F.approx_count_distinct("h").alias("k")).where(F.col("k") > max_leaf).select("leaf", F.lit(True).alias("crowded"))
-    deeper = F.xxhash64("leaf", *[F.coalesce(F.get("tok", F.lit(depth + i)), F.lit(0)) for i in range(3)])
-    dealt = unique.join(F.broadcast(crowded), "leaf", "left").select(F.when(F.col("crowded"), deeper).otherwise(F.col("leaf")).alias("leaf"), "h", "lines", "tok")
+def similar_rows(tokens: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that span all links between rows of one length; with two values of ``side``, links between the sides."""
+    comp, across = np.arange(len(tokens)), side.min() != side.max()
+    found: list[tuple[int, int]] = []
+    for i in range(len(tokens) - 1):
+        rest = slice(i + 1, None)
+        near = ((tokens[rest] == tokens[i]).sum(1) >= similarity * tokens.shape[1] - 1e-9) & (comp[rest] != comp[i])
+        if across:
+            near &= side[rest] != side[i]
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if comp[j] != comp[i]:
+                comp[comp == comp[j]] = comp[i]
+                found.append((i, j))
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def template_links(unique: DataFrame, *, similarity: float, depth: int, max_group: int) -> DataFrame:
+    """Edges ``a``, ``b`` between hashes of lines of one leaf: spanning forests of all links within a band."""
+    n = F.size("tok")
+    bands = n - F.ceil(similarity * n - 1e-9) + 1
+    edge = lambda j: F.lit(depth) + F.floor(j * (n - depth) / bands).cast("int")
+    dealt = unique.where((bands > 1) & (n > depth)).select("leaf", "h", "tok", F.explode(F.sequence(F.lit(0).cast("long"), bands - 1)).alias("j"))
+    start = edge(F.col("j"))
+    dealt = dealt.select(F.xxhash64("leaf", "j", F.slice("tok", start + 1, edge(F.col("j") + 1) - start)).alias("key"), "h", "tok")
+    shared = written(dealt.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
+    # At most rows / max_group bands are crowded.
+    crowded = shared.where(F.col("k") > max_group).select("key", F.ceil(F.col("k") / max_group).cast("int").alias("parts"))
+    dealt = likely_in(dealt, shared, "key").join(F.broadcast(crowded), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("node", F.pmod(F.xxhash64(F.lit(1), "h"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("node", "other").alias("p"), F.greatest("node", "other").alias("q"), "node", "h", "tok")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
+        parts = list(batches)  # bands, each of max_group rows at most in a group
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        leaf, h, lines_ = (table.column(c).to_numpy() for c in ("leaf", "h", "lines"))
+        h, node = (table.column(c).to_numpy() for c in ("h", "node"))
         column = table.column("tok").combine_chunks()
-        flat, start = column.flatten().to_numpy(), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
-        order = np.lexsort([h, -lines_, start[1:] - start[:-1], leaf])
-        key = np.stack([leaf[order], (start[1:] - start[:-1])[order]])
-        edge = np.r_[np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]), len(order)]
-        found: list[np.ndarray] = []
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            rows = order[a:b]
-            if lines_[rows].sum() < min_docs:
-                continue
-            tokens = np.stack([flat[start[r] : start[r + 1]] for r in rows])
-            of = parse_leaf(tokens, similarity)
-            total = np.bincount(of, weights=lines_[rows])
-            keep = total[of] >= min_docs
-            found.append(np.stack([h[rows][keep], h[rows][of[keep]]]))
-        if found:
-            h, tid = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(tid)], ["h", "tid"])
-
-    return dealt.repartition("leaf").mapInArrow(run, "h long, tid long")
-
-
-def recurring_lines(lines: DataFrame, *, min_docs: int, similarity: float, depth: int, max_leaf: int) -> DataFrame:
+        size = column.value_lengths().to_numpy()
+        flat, begin = column.flatten().to_numpy(), np.cumsum(size) - size
+        group = np.stack([size, *(table.column(c).to_numpy() for c in ("key", "p", "q"))])
+        order = np.lexsort([h, *group])
+        group = group[:, order]
+        cut = np.r_[np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)]), len(order)]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            if y - x > 1:
+                rows = order[x:y]
+                a, b = similar_rows(flat[begin[rows][:, None] + np.arange(size[rows[0]])], node[rows], similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[rows[a]]), pa.array(h[rows[b]])], ["a", "b"])
+
+    return dealt.repartition("key", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def templates(lines: DataFrame, *, min_docs: int, similarity: float, depth: int, max_group: int) -> DataFrame:
+    """``h`` of every line that belongs to a template of ``min_docs`` lines or more, and the template's ``tid``."""
+    busy = written(lines.groupBy("leaf").agg(F.count("*").alias("k")).where(F.col("k") >= min_docs).select("leaf"))
+    near = likely_in(lines, busy, "leaf")
+    unique = checkpointed(near.groupBy("leaf", "h").agg(F.count("*").alias("lines"), F.first("tok").alias("tok")).join(busy, "leaf", "left_semi"))
+    links = components(template_links(unique, similarity=similarity, depth=depth, max_group=max_group))
+    named = unique.select("h", "lines").join(links.withColumnRenamed("v", "h"), "h", "left").select("h", "lines", F.coalesce("root", "h").alias("tid"))
+    named = checkpointed(named)
+    often = written(named.groupBy("tid").agg(F.sum("lines").alias("k")).where(F.col("k") >= min_docs).select("tid"))
+    return named.join(often, "tid", "left_semi").select("h", "tid")
+
+
+def recurring_lines(lines: DataFrame, *, min_docs: int, similarity: float, depth: int, copy_share: float, max_group: int) -> DataFrame:
     """``_row`` and ``_drop``, the places of its lines to drop."""
-    named = templates(lines, min_docs=min_docs, similarity=similarity, depth=depth, max_leaf=max_leaf).dropDuplicates(["h"])
-    hits = checkpointed(lines.select("_row", "pos", "n", "h").join(named, "h").select("_row", "pos", "n", "tid"))
+    named = written(templates(lines, min_docs=min_docs, similarity=similarity, depth=depth, max_group=max_group).dropDuplicates(["h"]))
+    hits = likely_in(lines.select("_row", "pos", "n", "h"), named, "h").join(named, "h").select("_row", "pos", "n", "tid")
+    hits = checkpointed(hits)
+    documents = hits.select("tid", "_row").distinct().groupBy("tid").agg(F.count("*").alias("k"))
+    recurring = written(documents.where(F.col("k") >= min_docs).select("tid"))
+    hits = checkpointed(hits.join(recurring, "tid", "left_semi"))
+    return hits.join(copies(lines, hits, copy_share), "_row", "left_anti").groupBy("_row").agg(F.sort_array(F.collect_list("pos")).alias("_drop"))
 
-    def recurring(rows: DataFrame) -> DataFrame:
-        return rows.select("tid", "_row").distinct().groupBy("tid").agg(F.count("*").alias("k")).where(F.col("k") >= min_docs).select("tid")
 
-    hits = hits.join(recurring(hits), "tid", "left_semi")
+def copies(lines: DataFrame, hits: DataFrame, copy_share: float) -> DataFrame:
+    """``_row`` of the documents with ``copy_share`` or more of their tokens in lines that one other document has too."""
     inside = hits.groupBy("_row").agg(F.sum("n").alias("inside"))
-    copies = lines.groupBy("_row").agg(F.sum("n").alias("all")).join(inside, "_row").where("2 * inside > all").select("_row")
-    hits = checkpointed(hits.join(copies, "_row", "left_anti"))
-    return hits.join(recurring(hits), "tid", "left_semi").groupBy("_row").agg(F.sort_array(F.collect_list("pos")).alias("_drop"))
+    enough = lambda n: F.col(n) >= copy_share * F.col("all") - 1e-9
+    most = checkpointed(lines.groupBy("_row").agg(F.sum("n").alias("all")).join(inside, "_row").where(enough("inside")).select("_row", "all"))
+    held = checkpointed(hits.join(most, "_row"))
+    first = written(held.groupBy("tid").agg(F.min("_row").alias("_first")))
+    pairs = held.join(first, "tid").groupBy("_row", "_first").agg(F.sum("n").alias("shared"), F.first("all").alias("all")).where(enough("shared"))
+    pairs = pairs.where(F.col("_row") != F.col("_first")).select(F.explode(F.array("_row", "_first")).alias("_row"))
+    return written(pairs.distinct())
 
 
-def drop_recurring_lines(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", min_docs: int = 3, similarity: float = 0.8, depth: int = 3, max_leaf: int = 100_000) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", min_docs: int = 3, similarity: float = 0.8, depth: int = 3, copy_share: float = 0.7, max_group: int = 4096) -> DataFrame:
     """``docs`` with ``text`` cleaned, ``_n_lines`` and ``_n_dropped``."""
     rows = docs.withColumn("_row", row_key(id_column, text))
     lines = written(line_table(spread(rows.select("_row", F.col(f"`{text}`"))), text, depth))
-    drops = recurring_lines(lines, min_docs=min_docs, similarity=similarity, depth=depth, max_leaf=max_leaf)
+    drops = recurring_lines(lines, min_docs=min_docs, similarity=similarity, depth=depth, copy_share=copy_share, max_group=max_group)
     rows = rows.join(drops, "_row", "left")
     parts = F.split(F.col(f"`{text}`"), "\n")
     clean = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_drop", i)), "\n")

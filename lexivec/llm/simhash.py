@@ -240,16 +240,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``v``, ``root`` (the smallest vertex of v's component) for every vertex of ``edges`` (a, b).
 
     Large-star and small-star in turn (Kiveris et al. 2014): each needs minima by vertex only, which
-    are aggregated before the shuffle and written.  Both sides of the join are then plain exchanges, and Spark splits
-    the rows of a crowded vertex or broadcasts the minima where they are small."""
+    are aggregated before the shuffle.  Those of the first are written: both sides of its join are then plain exchanges, and
+    Spark splits the rows of a hub or broadcasts the minima where they are small; in the second a vertex meets only smaller ones."""
     edges = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = checkpointed(large)
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(low.withColumnRenamed("m", "b"))
         edges = checkpointed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()

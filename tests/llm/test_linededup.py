@@ -15,34 +15,38 @@ def mask(line):
     return tuple("<*>" if re.search("[0-9]", w) else w for w in re.split("[\x20\x09-\x0d]+", line) if w)
 
 
-def plain(texts, order, min_docs=3, similarity=0.8, depth=3):
-    """``order`` gives the hash by which equally frequent lines of a leaf are taken."""
+def plain(texts, order, min_docs=3, similarity=0.8, depth=3, share=0.7):
+    """``order`` gives the key of each document, by which the first holder of a template is known."""
     lines = [(d, i, mask(x)) for d, t in enumerate(texts) if t is not None for i, x in enumerate(t.split("\n")) if mask(x)]
-    count = Counter(m for _, _, m in lines)
-    leaves = defaultdict(list)
-    for m in count:
-        leaves[len(m), m[:depth]].append(m)
+    leaves = defaultdict(set)
+    for _, _, m in lines:
+        leaves[len(m), m[:depth]].add(m)
     name = {}
     for members in leaves.values():
-        found = []
-        for m in sorted(members, key=lambda m: (-count[m], order[m])):
-            score = [sum(a == b for a, b in zip(m, t) if b is not None) for t, _ in found]
-            best = max(range(len(found)), key=lambda k: (score[k], -k)) if found else None
-            if best is not None and score[best] >= similarity * len(m):
-                found[best][0][:] = [b if a == b else None for a, b in zip(m, found[best][0])]
-            else:
-                best = len(found)
-                found.append((list(m), m))
-            name[m] = found[best][1]
-    recurs = lambda rows: {t for t, n in Counter(t for t, _ in {(name[m], d) for d, _, m in rows}).items() if n >= min_docs}
-    many = recurs(lines)
+        members = sorted(members)
+        for m in members:
+            name[m] = m
+        for i, m in enumerate(members):
+            for o in members[:i]:
+                if sum(a == b for a, b in zip(m, o)) >= similarity * len(m) - 1e-9 and name[m] != name[o]:
+                    old, new = name[m], name[o]
+                    for x in members:
+                        if name[x] == old:
+                            name[x] = new
+    many = {t for t, n in Counter(t for t, _ in {(name[m], d) for d, _, m in lines}).items() if n >= min_docs}
     inside, total = Counter(), Counter()
     for d, _, m in lines:
         total[d] += len(m)
         inside[d] += len(m) * (name[m] in many)
-    rest = [x for x in lines if name[x[2]] in many and 2 * inside[x[0]] <= total[x[0]]]
-    many = recurs(rest)
-    drop = {(d, i) for d, i, m in rest if name[m] in many}
+    hits = [x for x in lines if name[x[2]] in many]
+    first, shared = {}, Counter()
+    held = [x for x in hits if inside[x[0]] >= share * total[x[0]] - 1e-9]
+    for d, _, m in held:
+        first[name[m]] = min(first.get(name[m], d), d, key=lambda x: order[x])
+    for d, _, m in held:
+        shared[d, first[name[m]]] += len(m)
+    copies = {x for (d, f), n in shared.items() if d != f and n >= share * total[d] - 1e-9 for x in (d, f)}
+    drop = {(d, i) for d, i, _ in hits if d not in copies}
     return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in drop) for d, t in enumerate(texts)]
 
 
@@ -72,9 +76,8 @@ def test_op10_equals_plain_version(spark, tmp_path):
     texts = corpus()
     rows = [(i, t, "clash", 1) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, n_lines string, tid int").write.parquet(f"{tmp_path}/documents.parquet")
-    masks = sorted({mask(x) for t in texts if t is not None for x in t.split("\n") if mask(x)})
-    df = spark.createDataFrame([(list(m),) for m in masks], "w array<string>")
-    order = {tuple(r.w): r.h for r in df.select("w", F.xxhash64(F.transform("w", lambda w: F.hash(w))).alias("h")).collect()}
+    keys = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", linededup.row_key("doc_id", "text").alias("k"))
+    order = {r.doc_id: tuple(r.k) for r in keys.collect()}
     want = plain(texts, order)
     assert sum(w != t for w, t in zip(want, texts)) > 60
     got = {r.doc_id: r for r in op10_template_line_dedup(spark, str(tmp_path)).collect()}
@@ -96,11 +99,35 @@ def test_op10_keeps_copies_and_drops_passages(spark):
             assert out[i].text == texts[i]
 
 
-def test_crowded_leaf_is_split(spark):
-    texts = ["alpha beta gamma x%s y z w v\nown%d line %s" % ("abc"[i % 3], i, "q" * i) for i in range(30)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = linededup.drop_recurring_lines(df, max_leaf=1).collect()
-    assert all(r._n_dropped in (0, 1) for r in out)
+def test_crowded_bands_give_the_same_result(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(12)] for _ in range(3)]
+    texts = []
+    for i in range(90):
+        w = ["alpha", "beta", "gamma", *base[i % 3]]
+        for _ in range(i % 4):
+            w[rng.randrange(3, 15)] = word()
+        texts.append(" ".join(w) + f"\n{word()} {word()} {word()} own line {'q' * i}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tiny, huge = (sorted((r.doc_id, r.text) for r in linededup.drop_recurring_lines(df, max_group=g, copy_share=2.0).collect()) for g in (2, 4096))
+    assert tiny == huge
+    assert [t for _, t in huge] == plain(texts, dict(enumerate(range(90))), share=2.0)
+    assert sum("alpha" in t for _, t in huge) < 30
+
+
+def test_passages_leave_their_holders_even_if_copies_hold_them_too(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = prose(60)
+    copy = prose(20) + "\n" + passage
+    own = [prose(40) + "\n" + passage + "\n" + prose(30) for _ in range(2)]
+    boilerplate = [prose(8) for _ in range(6)]
+    pages = ["\n".join(rng.sample(boilerplate, 3)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate([copy] * 4 + own + pages)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in linededup.drop_recurring_lines(df).collect()}
+    assert all(out[i] == copy for i in range(4))
+    assert passage not in out[4] and passage not in out[5] and len(out[4].split()) == 70
 
 
 def test_op10_empty_table(spark, tmp_path):
