@@ -5,8 +5,8 @@
    best fit, longest first.
 2. Bins filled to within ``slack`` tokens are final.  The others are items of
    a next round, in which ``fan_in`` neighbouring partitions are packed as one; so on until one group is left.
-3. A group never holds more than about ``max_items`` pieces: if more are left, the round keeps more groups,
-   and when groups can't get fewer the bins stand as they are.  Nothing is dropped.
+3. A group holds about ``max_items`` pieces at most.  Where one group can't hold all that is left, the bins are dealt
+   anew among bounded groups, round by round, until a round saves less than ``least_gain`` of them.  Nothing is dropped.
 
 Only piece records (no texts, no ids) travel between rounds, and each round is
 checkpointed in the shared folder.
@@ -87,6 +87,7 @@ def pack(
     slack: int = 16,
     fan_in: int = 8,
     max_items: int = 1_000_000,
+    least_gain: float = 0.001,
 ) -> DataFrame:
     """One row per piece (``PIECE``): where it was cut and where it lies."""
 
@@ -114,13 +115,19 @@ def pack(
     packed = checkpointed(frame.mapInArrow(local, f"{PIECE}, fill long, place long"))
     final = []
     full = F.col("fill") >= capacity - slack
+    before, deal = None, 0
     while groups > 1:
         rest = packed.where(~full)
-        fewer = max(-(-groups // fan_in), -(-rest.count() // max_items))
-        if fewer >= groups:
-            break
+        left = rest.agg(F.count("*").alias("items"), F.count_if(F.col("offset") == 0).alias("bins")).first()
+        fewer = max(-(-groups // fan_in), -(-left.items // max_items))
+        place = F.floor(F.col("place") * fewer / groups)
+        if fewer >= groups:  # groups are full: let other bins meet
+            if before is not None and left.bins >= before * (1 - least_gain):
+                break
+            fewer, before, deal = min(fewer, groups), left.bins, deal + 1
+            place = F.pmod(F.xxhash64(F.lit(deal), "sequence_id"), F.lit(fewer))
         final.append(packed.where(full))
-        rest = rest.withColumn("place", F.floor(F.col("place") * fewer / groups).cast("long"))
+        rest = rest.withColumn("place", place.cast("long"))
         packed = checkpointed(rest.groupBy("place").applyInArrow(lambda g: repack(g, capacity), f"{PIECE}, fill long, place long"))
         groups = fewer
     for part in final:
