@@ -4,8 +4,8 @@ The input is a window of ``length`` UTF-8 bytes, zero-padded.  For every width o
 ``widths``, ``filters`` filters slide over the one-hot bytes (so a filter is a sum of table rows), pass a
 rectifier and are max-pooled over the window; a softmax layer gives the languages.
 
-Training uses a bounded sample of labelled rows (about ``max_docs`` documents, chosen by a hash of
-their id, up to ``TAKE`` windows from each, spread over the text).  Prediction covers every text whole, in
+Training uses a bounded sample of labelled rows: about ``max_docs`` documents, the same number of every language as far as it has
+them, chosen by a hash of their id, with up to ``TAKE`` windows from each, spread over the text.  Prediction covers every text whole, in
 windows that overlap by the widest filter less one, in batches; a text's probabilities are the mean over its
 windows, weighted by their bytes.
 
@@ -16,7 +16,6 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,7 +28,6 @@ from pyspark.sql import types as T
 from lexivec.llm.bpe import pieces
 
 TAKE = 4
-LETTER = re.compile(r"[^\W\d_]").search
 
 
 @dataclass
@@ -115,16 +113,21 @@ def windows_of(texts: list[bytes], length: int, overlap: int) -> tuple[np.ndarra
 def fit(docs: DataFrame, *, may_learn: Column, text: str = "text", lang: str = "lang", id_column: str = "doc_id", max_docs: int = 4000, length: int = 256, widths: Sequence[int] = (2, 3, 4), filters: int = 16, epochs: int = 8) -> ByteNet | None:
     """Train on rows for which ``may_learn`` holds and ``lang`` is not null."""
     rows = docs.where(may_learn & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}"))
-    total = docs.where(may_learn & F.col(f"`{lang}`").isNotNull()).count()
-    chosen = F.pmod(F.xxhash64(F.col(f"`{id_column}`").cast("string")), F.lit(1_000_000)) < int(1.2e6 * max_docs / max(total, 1)) + 1
+    # One row per language: its share of rows for an equal part of the sample.
+    counts = rows.groupBy(F.col(f"`{lang}`").alias("_lang")).agg(F.count("*").alias("_n"))
+    counts = {r._lang: r._n for r in counts.collect()}
+    if not counts:
+        return None
+    part = max_docs / len(counts)
+    shares = docs.sparkSession.createDataFrame([(k, int(1.2e6 * part / n) + 1) for k, n in counts.items()], "_lang string, _share long")
+    place = F.pmod(F.xxhash64(F.col(f"`{id_column}`").cast("string")), F.lit(1_000_000))
+    chosen = rows.join(F.broadcast(shares), F.col(f"`{lang}`") == F.col("_lang")).where(place < F.col("_share"))
     t = F.col(f"`{text}`")
     spots = [F.substring(t, F.lit(1) + F.floor(F.greatest(F.length(t) - length, F.lit(0)) * k / (TAKE - 1)).cast("int"), F.lit(length)) for k in range(TAKE)]
-    sample = rows.where(chosen).select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.array_distinct(F.array(*spots)).alias("parts"))
-    sample = sample.limit(2 * max_docs).collect()  # at most 2 * max_docs rows of TAKE windows
+    sample = chosen.select(place.alias("place"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.array_distinct(F.array(*spots)).alias("parts"))
+    sample = sample.orderBy("place", "id", "lang", "parts").limit(2 * max_docs).collect()  # of TAKE windows each
     languages = sorted({r.lang for r in sample})
-    if not languages:
-        return None
-    sample.sort(key=lambda r: str(r.id))
+    sample.sort(key=lambda r: (str(r.id), r.parts))
     parts = [(p.encode(), languages.index(r.lang)) for r in sample for p in r.parts]
     out = np.zeros((len(parts), length), np.uint8)
     for k, (p, _) in enumerate(parts):
@@ -143,7 +146,7 @@ def predict(docs: DataFrame, net: ByteNet | None, *, text: str = "text", keep: S
             for part in pieces(whole, 200):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 name, score = ["und"] * len(texts), [0.0] * len(texts)
-                rows = [i for i, t in enumerate(texts) if net and t and LETTER(t)]
+                rows = [i for i, t in enumerate(texts) if net and t and any(map(str.isalpha, t))]
                 if rows:
                     p = _mean(net, [texts[i].encode() for i in rows], batch)
                     for i, k in enumerate(rows):
