@@ -1,10 +1,14 @@
 """The secret scan against its plain definition, and the battery on made strings."""
 
 import base64
+import bisect
 import hashlib
+import math
 import random
 import re
+import statistics
 import string
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -71,6 +75,57 @@ def test_redacted(spark):
     assert got == ["a#" + "aübcdefgh"[5:7] + "#" + "aübcdefgh"[8:], "none", None]
 
 
-def test_battery_vetoes_order():
-    ordered = secrets.candidates("abcdefghijklmnopqrstuvwxyz0123456789", [], 0.001)
-    assert ordered[0][4]
+def test_battery_scores_order_as_structure():
+    ordered = secrets.candidates("abcdefghijklmnopqrstuvwxyz0123456789", [])
+    assert ordered[0][4] > 6
+    assert all(abs(secrets.candidates("".join(random.Random(i).choices(string.ascii_letters + string.digits, k=40)), [])[0][4]) < 6 for i in range(20))
+
+
+def plain_random(texts, fdr=0.05):
+    """Random spans by the textbook: three scores, one combined p-value, Benjamini-Hochberg by length (on bins of the score)."""
+    chars = Counter(c for t in texts for c in t or "")
+    found = []
+    for d, t in enumerate(texts):
+        taken = [tuple(map(int, b.split(":")[1:])) for b in plain(t)]
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}", t or ""):
+            if any(a < m.end() and m.start() < b for a, b in taken):
+                continue
+            e = next(e for e in secrets.ENCODINGS if set(m[0]) <= set(e))
+            x, n, size = [e.index(c) for c in m[0]], len(m[0]), len(e)
+            chi = sum((x.count(i) - n / size) ** 2 / (n / size) for i in range(size))
+            f = [chars[c] + 1 for c in e]
+            f = [v / sum(f) for v in f]
+            m2, m3 = sum(v**2 for v in f), sum(v**3 for v in f)
+            z = (chi - (size * (1 - m2) + n * (size * m2 - 1))) / math.sqrt(4 * n * size**2 * (m3 - m2**2) + 2 * (size - 1))
+            up = [2 * v >= size for v in x]
+            n1, n2 = sum(up), n - sum(up)
+            if n1 and n2:
+                mean = 2 * n1 * n2 / n + 1
+                var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+                runs = math.erfc(abs(1 + sum(a != b for a, b in zip(up, up[1:])) - mean) / math.sqrt(var) / math.sqrt(2))
+            else:
+                runs = 2.0 ** (1 - n)
+            mid = sum(x) / n
+            power = sum((v - mid) ** 2 for v in x)
+            r = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:])) / power if power else 1.0
+            normal = statistics.NormalDist()
+            structure = [normal.inv_cdf(min(max(1 - p, 0.05), 1 - 1e-12)) for p in (runs, math.erfc(abs(r) * math.sqrt(n / 2)))]
+            found.append((int(math.log2(n)), (z + 0.5 * sum(structure)) / math.sqrt(1.5), d, m.start(), m.end()))
+    out = set()
+    for s in {x[0] for x in found}:
+        own = sorted(x for x in found if x[0] == s)
+        limit, scores = None, [x[1] for x in own]
+        for x in own:
+            edge = (math.floor(x[1] * secrets.BIN) + 1) / secrets.BIN
+            below = bisect.bisect_left(scores, edge)
+            if edge < 0 and statistics.NormalDist().cdf(edge) * len(own) <= fdr * below:
+                limit = edge
+        out |= {x[2:] for x in own if limit is not None and x[1] < limit}
+    return out
+
+
+def test_random_spans_equal_plain_version(spark):
+    texts, _ = corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, s.start, s.end) for r in secrets.secret_spans(df).collect() for s in r.spans if s.kind == 3}
+    assert got == plain_random(texts) and len(got) > 30
