@@ -5,11 +5,12 @@ severity ``sum_k P(grade > k)`` grows with evidence.  Features are the densities
 ``STEMS`` letters) that the labels single out: by the log likelihood ratio of document counts, in varied
 surroundings, at most ``max_features``.
 
-Labels say toxic or not; grades come from them and from density: 0 for not toxic; toxic rows are 1, 2 or 3 by the
-terciles of how dense the singled-out words of toxic rows are in them.
+Labels say toxic or not; grades come from them and from how many independent judges agree: the sample falls into ``FOLDS`` by a
+hash of the id, each fold trains a judge of its own, and a toxic row is 1, 2 or 3 by the number (one at least) of the judges
+from other folds that call it toxic.  Rows that aren't toxic are 0.
 
-The model is fitted on a bounded sample of labelled rows (``max_labelled``, by a hash of the id; one
-document per opening of ``OPENING`` characters, so that a family of copies is one witness).  Word counts
+The model is fitted on a bounded sample of labelled rows (``max_labelled``, by a hash of the id; rows of one
+label whose texts are equal but for case and spaces are one witness).  Word counts
 of the sample are Spark jobs; what reaches the driver is bounded by ``max_labelled`` and ``max_features``.  Every
 text is scored whole.
 
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from lexivec.llm.bpe import pieces
 from lexivec.llm.common import written
 
-OPENING = 40
+FOLDS = 4
 STEMS = (5, 6, 7)
 SHORT = 100
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -94,10 +95,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text:
     total = labelled.count()
     share = int(1e6 * max_labelled / max(total, 1)) + 1
     labelled = labelled.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < share)
-    labelled = labelled.groupBy("id").agg(F.max("y").alias("y")).limit(2 * max_labelled)  # so small enough to broadcast
+    labelled = labelled.groupBy("id").agg(F.max("y").alias("y"))
+    labelled = labelled.orderBy(F.xxhash64("id"), "id").limit(2 * max_labelled)  # so small enough to broadcast
     body = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    sample = body.join(F.broadcast(labelled), "id").groupBy(F.substring("text", 1, OPENING).alias("opening")).agg(F.max(F.struct("y", "id", "text")).alias("r"))
-    sample = written(sample.select("r.*"))
+    same = F.xxhash64(F.lower(F.regexp_replace("text", r"\s+", " ")))
+    sample = body.join(F.broadcast(labelled), "id").groupBy(same.alias("same"), "y").agg(F.min(F.struct("id", "text")).alias("r"))
+    sample = written(sample.select("r.id", "y", "r.text", F.pmod(F.xxhash64(F.col("r.id").cast("string"), F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold")))
     size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return OrdinalModel()
@@ -114,21 +117,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text:
     counts = counts.where((F.col("a") + F.col("b") >= min_docs) & (2 * F.col("c") >= F.col("a"))).withColumn("score", _likelihood_ratio(F.col("a"), F.col("b"), size[1], size[0]))
     best = counts.where(F.col("score") >= min_score).orderBy(F.desc("score"), "w").limit(max_features).collect()
     model = OrdinalModel({r.w: i for i, r in enumerate(best)}, np.zeros(len(best)))
-    toxic_words = {r.w for r in best if r.a * size[0] > r.b * size[1]}
-    columns = [i for w, i in model.words.items() if w in toxic_words]
-    x, y = [], []
-    for batch in _features(sample, model).toLocalIterator():
-        x.append(np.array(batch.x))
-        y.append(batch.y)
-    x, y = np.array(x).reshape(len(y), -1), np.array(y)
-    dense = x[:, columns].sum(1)
-    seen = dense[(y > 0) & (dense > 0)]
-    cuts = np.quantile(seen, [1 / 3, 2 / 3]) if len(seen) else np.array([np.inf, np.inf])
-    grade = np.where(y > 0, 1 + (dense > cuts[0]).astype(int) + (dense > cuts[1]), 0)
+    rows = [(r.fold, r.y, r.x) for r in _features(sample, model).toLocalIterator()]
+    fold, y = (np.array([r[i] for r in rows]) for i in (0, 1))
+    x = np.array([r[2] for r in rows]).reshape(len(rows), -1)
+    grade = agreement(x, y, fold)
     model.weights, model.theta = fit_ordinal(x, grade, 4)
     return model
 
 
+def agreement(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """0 where y is 0; else how many judges of other folds call the row toxic, from 1 to ``FOLDS`` - 1."""
+    votes = np.zeros(len(y), int)
+    for f in range(FOLDS):
+        own = fold == f
+        if len(set(y[own].tolist())) == 2:
+            w, theta = fit_ordinal(x[own], y[own], 2)
+            votes += ~own & (x @ w > theta[0])
+    return np.where(y > 0, np.clip(votes, 1, FOLDS - 1), 0)
+
+
 def _likelihood_ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
     """Dunning's statistic of a word's document counts in n1 toxic and n0 other rows."""
     share = (a + b) / (n1 + n0)
@@ -140,10 +147,10 @@ def _features(sample: DataFrame, model: OrdinalModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
-                x = model.features(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "x"])
+                x = model.features(batch.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x.tolist(), pa.list_(pa.float64()))], ["fold", "y", "x"])
 
-    return sample.select("y", "text").mapInArrow(run, "y int, x array<double>")
+    return sample.select("fold", "y", "text").mapInArrow(run, "fold int, y int, x array<double>")
 
 
 def score(docs: DataFrame, model: OrdinalModel, *, text: str = "text", keep: Sequence[str] = ("doc_id",), reject_from: float = 0.5) -> DataFrame:
