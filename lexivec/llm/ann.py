@@ -7,8 +7,8 @@
    pseudo-rotation) and takes the nearest signed axis as the bucket.
 3. A query looks into the buckets of a table whose axes are nearest to it (multiprobe): ``probes`` of
    128 buckets or fewer, and the same share of more.
-4. Rows are dealt by (table, bucket, chunk): a bucket of over ``chunk`` vectors is split by a hash of the
-   ids, and its queries go to every chunk.  Tasks score the candidates they meet in double precision on the original vectors and
+4. Rows are dealt by (table, bucket, chunk): the vectors of a bucket and the queries that ask it are each cut into chunks of about
+   ``chunk`` by a hash of the ids, and every pair of chunks is a group of its own.  Tasks score the candidates they meet in double precision on the original vectors and
    return the best ``k`` of each query; a last aggregation merges those.
 
 Every row is indexed; nothing is capped.  Of equal vectors in a chunk only the ``k`` + 1 smallest ids can be
@@ -69,7 +69,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0)
 
 
-def nearest(df: DataFrame, *, is_query: Column, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 10, probes: int = 16, chunk: int = 4096, exact: int = 4096, seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, *, is_query: Column, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 14, probes: int = 8, chunk: int = 4096, exact: int = 4096, seed: int = 11) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the ``k`` nearest found for each query."""
     rows = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{vector}`").alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
@@ -108,12 +108,14 @@ def nearest(df: DataFrame, *, is_query: Column, id_column: str = "vec_id", vecto
 
     dealt = rows.mapInArrow(hashed, f"w int, t int, b int, ask boolean, id long, v {value}")
     # One row per bucket, however large the input is.
-    sizes = dealt.where("NOT ask").groupBy("w", "t", "b").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    sizes = sizes.select("w", "t", "b", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
-    dealt = dealt.join(F.broadcast(sizes), ["w", "t", "b"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    one = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    dealt = dealt.select("w", "t", "b", F.explode(F.when(F.col("ask"), every).otherwise(one)).alias("c"), "ask", "id", "v")
+    sizes = dealt.groupBy("w", "t", "b").agg(F.count_if(~F.col("ask")).alias("n"), F.count_if("ask").alias("m")).where(F.greatest("n", "m") > chunk)
+    sizes = sizes.select("w", "t", "b", *[F.greatest(F.ceil(F.col(c) / chunk), F.lit(1)).cast("int").alias(p) for c, p in (("n", "parts"), ("m", "asks"))])
+    dealt = dealt.join(F.broadcast(sizes), ["w", "t", "b"], "left").fillna(1, ["parts", "asks"])
+    own = lambda p: F.pmod(F.xxhash64("id"), F.col(p)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("ask"), F.col("parts")).otherwise(F.col("asks")) - 1))
+    dealt = dealt.withColumn("other", copies).select(
+        "w", "t", "b", F.when(F.col("ask"), F.col("other")).otherwise(own("parts")).alias("c"), F.when(F.col("ask"), own("asks")).otherwise(F.col("other")).alias("s"), "ask", "id", "v"
+    )
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
@@ -124,7 +126,7 @@ def nearest(df: DataFrame, *, is_query: Column, id_column: str = "vec_id", vecto
         w = table.column("w").to_numpy()
         begin = np.cumsum(w) - w
         ids, ask = table.column("id").to_numpy(), table.column("ask").to_numpy()
-        key = np.stack([table.column(c).to_numpy() for c in ("w", "t", "b", "c")])
+        key = np.stack([table.column(c).to_numpy() for c in ("w", "t", "b", "c", "s")])
         order = np.lexsort([ids, ask, *key[::-1]])
         key = key[:, order]
         edge = np.r_[np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]), len(order)]
@@ -146,7 +148,7 @@ def nearest(df: DataFrame, *, is_query: Column, id_column: str = "vec_id", vecto
                 s = slice(i, i + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(query[s]), pa.array(vec[s]), pa.array(score[s])], ["query_id", "vec_id", "score"])
 
-    found = dealt.repartition("w", "t", "b", "c").mapInArrow(scored, "query_id long, vec_id long, score double").distinct()
+    found = dealt.repartition("w", "t", "b", "c", "s").mapInArrow(scored, "query_id long, vec_id long, score double").distinct()
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -327,7 +327,7 @@ def _counts(seen: Counter) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 20_000]), pa.array(n[i : i + 20_000], pa.int64())], ["word", "n"])
 
 
-_FILES: dict[str, str] = {}  # lexicons that this process has written, by name
+_FILES: set[str] = set()  # lexicons that this process has written
 
 
 def publish_lexicon(docs: DataFrame, vocab_path: str, *, text: str = "text", lexicon_words: int = 196_608) -> str:
@@ -347,14 +347,14 @@ def publish_lexicon(docs: DataFrame, vocab_path: str, *, text: str = "text", lex
     words = [r.word.encode() for r in frequent.select("word").collect()]  # at most lexicon_words rows
     blob = compile_lexicon(dict(zip(words, Vocabulary(vocab_path).merge(words), strict=True)))
     name = f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}.bin"
-    if name not in _FILES:
-        folder = shared_folder(docs.sparkSession).rstrip("/")
+    folder = shared_folder(docs.sparkSession).rstrip("/")
+    if f"{folder}/{name}" not in _FILES:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{root}/{name}") as f:
             f.write(blob)
-        _FILES[name] = f"{folder}/{name}"
-    docs.sparkSession.sparkContext.addFile(_FILES[name])  # every executor fetches it once, late ones too
+        _FILES.add(f"{folder}/{name}")
+    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")  # every executor fetches it once, late ones too
     return name
 
 

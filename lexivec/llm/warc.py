@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.bpe import pieces
-from lexivec.llm.common import checkpointed, fresh_path
+from lexivec.llm.common import checkpointed, fresh_path, written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RANGE = 4 << 20
@@ -54,7 +54,9 @@ def with_references(pages: DataFrame, *, id_column: str, url: str, payload: str,
     rows = pages.select(F.col(f"`{id_column}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.when(F.octet_length("html") >= revisit_from, F.sha1(F.col("html").cast("binary"))))
     groups = rows.where("sha IS NOT NULL").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    groups = groups.where("n > 1 AND first IS NOT NULL").select("sha", "first")
+    # Written, so that both sides of the join are plain exchanges: Spark splits the rows of a payload that many pages
+    # share, and leaves the pages where they are if the groups are small.
+    groups = written(groups.where("n > 1 AND first IS NOT NULL").select("sha", "first"))
     rows = rows.join(groups, "sha", "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select("page_id", "url", "html", F.when(other, F.col("first")).alias("refers_to"))
