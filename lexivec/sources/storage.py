@@ -7,13 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: dict[str, list[str]] = {}  # paths by application
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.  Only where that is
-    unset (tests on one machine) a folder of our own is chosen."""
+    unset and the master is local (tests on one machine) a folder of our own is chosen."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lexivec-")
     if ":" not in named.split("/")[0]:  # a path of the default file system
         path = context._jvm.org.apache.hadoop.fs.Path(named)
@@ -32,7 +36,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -40,3 +46,13 @@ def written(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleaned_up(spark: SparkSession) -> int:
+    """Delete the tables that this session's jobs have written to the shared folder, once their results are no
+    longer read; returns how many there were.  (Checkpoints go with ``spark.cleaner.referenceTracking.cleanCheckpoints``.)"""
+    context = spark.sparkContext
+    for path in _WRITTEN.get(context.applicationId, ()):
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    return len(_WRITTEN.pop(context.applicationId, ()))

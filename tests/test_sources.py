@@ -1,6 +1,7 @@
 """Readers, sinks and streams on small files."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,17 @@ def test_streams(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 100
+
+
+def test_shared_folder_and_clean_up(spark):
+    from types import SimpleNamespace
+
+    from lexivec.sources import storage
+
+    table = storage.written(spark.range(5))
+    path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert table.count() == 5 and os.path.isdir(path)
+    assert storage.cleaned_up(spark) >= 1 and not os.path.exists(path)
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://x", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(far)
