@@ -100,12 +100,21 @@ def template_links(unique: DataFrame, *, similarity: float, depth: int, max_grou
         order = np.lexsort([h, *group])
         group = group[:, order]
         cut = np.r_[np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)]), len(order)]
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
-            if y - x > 1:
-                rows = order[x:y]
-                a, b = similar_rows(flat[begin[rows][:, None] + np.arange(size[rows[0]])], node[rows], similarity)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[rows[a]]), pa.array(h[rows[b]])], ["a", "b"])
+        many, found = np.diff(cut), []
+        for width in np.unique(group[0, cut[:-1][many == 2]]):  # most groups are pairs
+            one = cut[:-1][(many == 2) & (group[0, cut[:-1]] == width)]
+            i, j = order[one], order[one + 1]
+            same = (flat[begin[i][:, None] + np.arange(width)] == flat[begin[j][:, None] + np.arange(width)]).sum(1)
+            near = (same >= similarity * width - 1e-9) & ((group[2, one] == group[3, one]) | (node[i] != node[j]))
+            found.append(np.stack([h[i[near]], h[j[near]]]))
+        for x, y in zip(cut[:-1][many > 2], cut[1:][many > 2], strict=True):
+            rows = order[x:y]
+            a, b = similar_rows(flat[begin[rows][:, None] + np.arange(size[rows[0]])], node[rows], similarity)
+            found.append(np.stack([h[rows[a]], h[rows[b]]]))
+        if found:
+            a, b = np.concatenate(found, axis=1)
+            for k in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000])], ["a", "b"])
 
     return dealt.repartition("key", "p", "q").mapInArrow(run, "a long, b long")
 
@@ -145,7 +154,7 @@ def copies(lines: DataFrame, hits: DataFrame, copy_share: float) -> DataFrame:
     return written(pairs.distinct())
 
 
-def drop_recurring_lines(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", min_docs: int = 3, similarity: float = 0.8, depth: int = 3, copy_share: float = 0.7, max_group: int = 4096) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", min_docs: int = 3, similarity: float = 0.8, depth: int = 3, copy_share: float = 0.7, max_group: int = 512) -> DataFrame:
     """``docs`` with ``text`` cleaned, ``_n_lines`` and ``_n_dropped``."""
     rows = docs.withColumn("_row", row_key(id_column, text))
     lines = written(line_table(spread(rows.select("_row", F.col(f"`{text}`"))), text, depth))

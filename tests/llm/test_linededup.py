@@ -110,7 +110,7 @@ def test_crowded_bands_give_the_same_result(spark):
             w[rng.randrange(3, 15)] = word()
         texts.append(" ".join(w) + f"\n{word()} {word()} {word()} own line {'q' * i}")
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    tiny, huge = (sorted((r.doc_id, r.text) for r in linededup.drop_recurring_lines(df, max_group=g, copy_share=2.0).collect()) for g in (2, 4096))
+    tiny, huge = (sorted((r.doc_id, r.text) for r in linededup.drop_recurring_lines(df, max_group=g, copy_share=2.0).collect()) for g in (2, 512))
     assert tiny == huge
     assert [t for _, t in huge] == plain(texts, dict(enumerate(range(90))), share=2.0)
     assert sum("alpha" in t for _, t in huge) < 30
