@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lexivec.sources.storage import checkpointed, fresh_path, shared_folder, written
 
-__all__ = ["checkpointed", "fresh_path", "only", "row_key", "shared_folder", "spread", "table", "written"]
+__all__ = ["checkpointed", "fresh_path", "likely_in", "only", "row_key", "shared_folder", "spread", "table", "written"]
+
+MAP_WORDS = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +34,13 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, resolved exactly, so that extra columns of an
     input (also ones named like a result) can neither travel along nor clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def likely_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` may be one of ``keys``, by a bitmap of ``MAP_WORDS`` longs: a broadcast that
+    never grows.  Where it fills up, more rows stay; none is lost."""
+    word = F.pmod(F.shiftright(key, 6), F.lit(MAP_WORDS)).alias("_word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))
+    bits = keys.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    near = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return near.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)

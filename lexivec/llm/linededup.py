@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import checkpointed, row_key, spread, written
+from lexivec.llm.common import checkpointed, likely_in, row_key, spread, written
 from lexivec.llm.simhash import components
 
 SPACES = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
-MAP_WORDS = 1 << 17
 
 
 def line_table(docs: DataFrame, text: str, depth: int) -> DataFrame:
@@ -45,16 +44,6 @@ def line_table(docs: DataFrame, text: str, depth: int) -> DataFrame:
     return lines.select("_row", "pos", F.size("tok").alias("n"), leaf.alias("leaf"), F.xxhash64("tok").alias("h"), "tok")
 
 
-def likely_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` may be one of ``keys``, by a bitmap of ``MAP_WORDS`` longs: a broadcast that
-    never grows.  Where it fills up, more rows stay; none is lost."""
-    word = F.pmod(F.shiftright(key, 6), F.lit(MAP_WORDS)).alias("_word")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))
-    bits = keys.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
-    near = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
-    return near.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
-
-
 def similar_rows(tokens: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that span all links between rows of one length; with two values of ``side``, links between the sides."""
     comp, across = np.arange(len(tokens)), side.min() != side.max()

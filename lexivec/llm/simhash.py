@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivec.llm.bpe import pieces
-from lexivec.llm.common import checkpointed, row_key, written
+from lexivec.llm.common import checkpointed, likely_in, row_key, written
 
 SPLIT = 6
 BUCKET = 32  # leaf pairs that are compared directly
@@ -320,60 +320,64 @@ def transposed(sig: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bit[:, order], axis=1)).view(">u8").astype(np.uint64)
 
 
-def candidate_pairs(
-    vertices: DataFrame, *, bits: int, budget: int, block: int, similarity: float, every: bool = False, wide: tuple[int, int] | None = None, max_node: int = 200_000
-) -> DataFrame:
+def candidate_pairs(vertices: DataFrame, *, bits: int, budget: int, block: int, similarity: float, wide: tuple[int, int] | None = None, max_node: int = 200_000) -> DataFrame:
     """``a``, ``b``: pairs of ``set_id`` in different components (``label``) whose signatures differ in ``budget`` bits or
-    fewer and agree in a block of the signature or of the transposed one; ``every`` such pair, or in each task a forest of them.
+    fewer and agree in a block of the signature or of the transposed one; in each task a forest of them.
 
-    ``wide`` are the length and the budget of a column ``wide`` of longer signatures, which a pair must keep as well.
+    With ``wide``, the length and the budget of longer signatures that begin with those of ``bits``, ``sig`` holds the longer ones and every
+    pair is returned that keeps both budgets; only pairs of one ``family`` are looked for, and only where a block of a family has several labels.
     A block value with over ``max_node`` rows is cut into chunks by a hash of the id, and every pair of chunks is a group of its own."""
-    tables = blocks(bits, block)
-    columns = ["set_id", "n", "label", "sig", *(["wide"] if wide else [])]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
-                first = batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, bits // 64)
-                for k, sig in enumerate((first, transposed(first))):
-                    rows = _lists(sig)
-                    for t, (word, shift, width) in enumerate(tables):
-                        v = (sig[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                        tv = (v.astype(np.int64) | ((k * len(tables) + t) << width)).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(tv), *batch.columns[:3], rows, *batch.columns[4:]], ["tv", *columns])
+    tables, length = blocks(bits, block), wide[0] if wide else bits
+    vertices = vertices.select("set_id", "n", "label", "family" if wide else F.lit(0).cast("long").alias("family"), "sig")
+
+    def dealer(*names: str):
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(start, 2000)
+                    first = np.ascontiguousarray(batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, length // 64)[:, : bits // 64])
+                    for k, sig in enumerate((first, transposed(first))):
+                        for t, (word, shift, width) in enumerate(tables):
+                            v = (sig[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                            tv = (v.astype(np.int64) | ((k * len(tables) + t) << width)).astype(np.int32)
+                            yield pa.RecordBatch.from_arrays([pa.array(tv), *(batch.column(c) for c in names)], ["tv", *names])
+
+        kinds = [f"{c} {'array<long>' if c == 'sig' else 'long'}" for c in names]
+        return vertices.mapInArrow(deal, ", ".join(["tv int", *kinds]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        signatures_of = lambda c, length: table.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, length // 64)
-        sig = signatures_of("sig", bits)
+        whole = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, length // 64)
         key, size, label = (table.column(c).to_numpy() for c in ("set_id", "n", "label"))
-        group = np.stack([table.column(c).to_numpy() for c in ("tv", "tv", "p", "q", "node")])
-        order = np.lexsort([*sig.T[::-1], *group[::-1]])
-        sig, group, key, size, label = sig[order], group[:, order], key[order], size[order], label[order]
-        longer = (signatures_of("wide", wide[0])[order], wide[1]) if wide else None
+        group = np.stack([table.column(c).to_numpy() for c in ("family", "tv", "p", "q", "node")])
+        order = np.lexsort([*whole.T[: bits // 64][::-1], *group[::-1]])
+        whole, group, key, size, label = whole[order], group[:, order], key[order], size[order], label[order]
+        sig = np.ascontiguousarray(whole[:, : bits // 64])
         _, first, place = np.unique(label, return_index=True, return_inverse=True)
         nodes = roots(group)
         comp, found = first[place], []
-        for most in (budget,) if every else (budget // 4, budget // 2, 3 * budget // 4, budget):  # the nearest pairs span first
-            comp, *near = forest(sig, *nodes, most, comp, size, similarity, every, longer)
+        for most in (budget,) if wide else (budget // 4, budget // 2, 3 * budget // 4, budget):  # the nearest pairs span first
+            comp, *near = forest(sig, *nodes, most, comp, size, similarity, bool(wide), (whole, wide[1]) if wide else None)
             found.append(near)
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         pairs = np.unique(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])]), axis=1)
         for k in range(0, pairs.shape[1], 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[:, k : k + 50_000]], ["a", "b"])
 
-    kinds = ["tv int", "set_id long", "n long", "label long", "sig array<long>", *(["wide array<long>"] if wide else [])]
-    dealt = vertices.select(*columns).mapInArrow(deal, ", ".join(kinds))
+    dealt = dealer("set_id", "n", "label", "family", "sig")
+    if wide:
+        several = dealer("family", "label").groupBy("family", "tv").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        several = written(several.select(F.xxhash64("family", "tv").alias("key")))
+        dealt = likely_in(dealt.withColumn("key", F.xxhash64("family", "tv")), several, "key").drop("key")
     crowded = _crowded(vertices, tables, max_node)
     dealt = dealt.join(F.broadcast(crowded), "tv", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("node", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(*["tv", *columns], "node", F.least("node", "other").alias("p"), F.greatest("node", "other").alias("q"))
-    return dealt.repartition("tv", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    dealt = dealt.select("tv", "set_id", "n", "label", "family", "sig", "node", F.least("node", "other").alias("p"), F.greatest("node", "other").alias("q"))
+    return dealt.repartition("family", "tv", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
 def _lists(sig: np.ndarray) -> pa.ListArray:
@@ -384,13 +388,16 @@ def _crowded(vertices: DataFrame, tables: list[tuple[int, int, int]], max_node:
     """``tv`` and ``parts`` of the block values with many rows: all with over 2 ``max_node``.
 
     A task names the values that it holds more than its share of ``max_node`` of, so what it keeps back is less than ``max_node`` in all."""
-    most, share = 2 * len(tables) << tables[0][2], max(1, max_node // vertices.rdd.getNumPartitions())
+    most, share = 2 * len(tables) << tables[0][2], max(1, max_node // max(1, vertices.rdd.getNumPartitions()))
+    words = len({word for word, _, _ in tables})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(most, np.int32)  # one for each block value that there can be
         for batch in batches:
-            first = batch.column(0).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-            for k, sig in enumerate((first, transposed(first)) if len(first) else ()):
+            if not batch.num_rows:
+                continue
+            first = np.ascontiguousarray(batch.column(0).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)[:, :words])
+            for k, sig in enumerate((first, transposed(first))):
                 for t, (word, shift, width) in enumerate(tables):
                     v = ((sig[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
                     np.add.at(seen, v | ((k * len(tables) + t) << width), 1)
@@ -433,23 +440,27 @@ def deduplicated(
     Groups are components of pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more; every link
     is checked on the sets.  Candidates come from signatures of the sets within ``budget_of`` the similarity;
     ``2 bits / block`` tables find a pair if a block agrees (at 0.8 in about 99 % of pairs of long texts).
-    A forest of candidates is checked first; then every candidate pair that it has not linked and that keeps the budget of
-    ``wide`` bits as well, so that a forest's false edge hides no true one.  Rows that repeat id and text become one."""
+    A forest of candidates is checked first; then, in the families that it leaves in parts, every candidate pair of different parts that
+    keeps the budget of ``wide`` bits as well, so that a forest's false edge hides no true one.  Rows that repeat id and text become one."""
     rows = docs.withColumn("_row", row_key(id_column, text))
     sigs = set_signatures(rows, text=text, keep=(id_column, "_row"), shingle=shingle, bits=bits)
     order = F.struct(F.col(f"`{id_column}`").isNull(), F.col(f"`{id_column}`"), F.col("_row"))
     vertices = checkpointed(sigs.groupBy("set_id").agg(F.min(order).alias("_least"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     find = {"bits": bits, "budget": budget_of(similarity, bits), "block": block, "similarity": similarity, "max_node": max_node}
     pairs = checkpointed(candidate_pairs(vertices.withColumn("label", F.col("set_id")), **find))
-    # Whoever has a candidate is in the forest.
-    met = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    near = checkpointed(vertices.join(met, "set_id").select("set_id", "n", "sig", "_least._row"))
+    # Whoever has a candidate is in the forest, and in one family with all its candidates.
+    families = checkpointed(components(pairs))
+    families = families.unionByName(families.select(F.col("root").alias("v"), "root").distinct()).select(F.col("v").alias("set_id"), F.col("root").alias("family"))
+    near = checkpointed(vertices.join(families, "set_id").select("set_id", "n", "family", "_least._row"))
     sets = written(shingle_sets(rows.join(near.select("_row", "set_id"), "_row").dropDuplicates(["set_id"]), text=text, shingle=shingle, bits=wide))
     links = checkpointed(similar(pairs, sets, similarity))
     roots_of = components(links)
-    labelled = near.join(sets.select("set_id", "wide"), "set_id").join(roots_of.withColumnRenamed("v", "set_id"), "set_id", "left")
-    labelled = checkpointed(labelled.select("set_id", "n", "sig", "wide", F.coalesce("root", "set_id").alias("label")))
-    rest = candidate_pairs(labelled, **find, every=True, wide=(wide, budget_of(similarity, wide))).join(pairs, ["a", "b"], "left_anti")
+    labelled = near.join(roots_of.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id"))
+    # A family of two is one pair, which is checked, and one of a single label has nothing left to link.
+    open_ = labelled.groupBy("family").agg(F.count("*").alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).where("k > 2 AND x <> y")
+    labelled = labelled.join(written(open_.select("family")), "family", "left_semi").join(sets.select("set_id", F.col("wide").alias("sig")), "set_id")
+    labelled = checkpointed(labelled.select("set_id", "n", "label", "family", "sig"))
+    rest = candidate_pairs(labelled, **find, wide=(wide, budget_of(similarity, wide))).join(pairs, ["a", "b"], "left_anti")
     more = checkpointed(similar(rest, sets, similarity))
     if not more.isEmpty():
         roots_of = components(links.unionByName(more))
