@@ -97,3 +97,16 @@ def interleaved(tasks: DataFrame, task: str, batches: str, seed: int = 42) -> Da
     """Task names, each as often as it has batches, in a hashed order."""
     each = tasks.select(task, F.explode(F.when(F.col(batches) > 0, F.sequence(F.lit(0), F.col(batches).cast("int") - 1))).alias("batch"))
     return dense_ids(each, [stable_hash(F.col(task), F.col("batch"), seed=seed), task, "batch"], "position")
+
+
+MAP_WORDS = 1 << 17
+
+
+def likely_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` (a long) may be one of ``keys``, by a bitmap of ``MAP_WORDS`` longs: a broadcast that
+    never grows.  Where it fills up, more rows stay; none is lost."""
+    word = F.pmod(F.shiftright(key, 6), F.lit(MAP_WORDS)).alias("_word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))
+    bits = keys.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    near = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return near.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)

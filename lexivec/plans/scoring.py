@@ -41,6 +41,7 @@ s AS (SELECT item_id, doc_id, round(sum(weight), 6) AS score FROM q JOIN b USING
 SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 5""")
 def bm25_topk(spark, d):
     queries = table(spark, d, "benchmark").select("item_id", F.explode(words(F.col("text"))).alias("term")).distinct()
-    scores = S.query_scores(queries, S.bm25(table(spark, d, "documents")), "item_id").withColumn("score", F.round("score", 6))
+    weights = S.bm25(table(spark, d, "documents"), terms=queries.select("term").distinct())
+    scores = S.query_scores(queries, weights, "item_id").withColumn("score", F.round("score", 6))
     by = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return scores.withColumn("_r", F.row_number().over(by)).where("_r <= 5").drop("_r")
