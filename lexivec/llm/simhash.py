@@ -33,6 +33,7 @@ from lexivec.llm.bpe import pieces
 from lexivec.llm.common import checkpointed, likely_in, row_key, written
 
 SPLIT = 6
+ROUND_ROWS = 20_000  # of edges in a task and file of a components round
 BUCKET = 32  # leaf pairs that are compared directly
 
 
@@ -243,14 +244,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     are aggregated before the shuffle.  Those of the first are written: both sides of its join are then plain exchanges, and
     Spark splits the rows of a hub or broadcasts the minima where they are small; in the second a vertex meets only smaller ones."""
     edges = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    parts = edges.count() // ROUND_ROWS + 1  # a round never adds edges
+    edges, seen = edges.coalesce(parts), None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(parts))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(low.withColumnRenamed("m", "b"))
-        edges = checkpointed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        edges = checkpointed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(parts))
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == seen:
             return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
@@ -445,6 +447,7 @@ def deduplicated(
     rows = docs.withColumn("_row", row_key(id_column, text))
     sigs = set_signatures(rows, text=text, keep=(id_column, "_row"), shingle=shingle, bits=bits)
     order = F.struct(F.col(f"`{id_column}`").isNull(), F.col(f"`{id_column}`"), F.col("_row"))
+    sigs = checkpointed(sigs)
     vertices = checkpointed(sigs.groupBy("set_id").agg(F.min(order).alias("_least"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     find = {"bits": bits, "budget": budget_of(similarity, bits), "block": block, "similarity": similarity, "max_node": max_node}
     pairs = checkpointed(candidate_pairs(vertices.withColumn("label", F.col("set_id")), **find))
@@ -452,7 +455,8 @@ def deduplicated(
     families = checkpointed(components(pairs))
     families = families.unionByName(families.select(F.col("root").alias("v"), "root").distinct()).select(F.col("v").alias("set_id"), F.col("root").alias("family"))
     near = checkpointed(vertices.join(families, "set_id").select("set_id", "n", "family", "_least._row"))
-    sets = written(shingle_sets(rows.join(near.select("_row", "set_id"), "_row").dropDuplicates(["set_id"]), text=text, shingle=shingle, bits=wide))
+    texts = likely_in(rows.select("_row", F.col(f"`{text}`"), F.col("_row.a").alias("_a")), near.select(F.col("_row.a").alias("_a")), "_a")
+    sets = written(shingle_sets(texts.join(near.select("_row", "set_id"), "_row").dropDuplicates(["set_id"]), text=text, shingle=shingle, bits=wide))
     links = checkpointed(similar(pairs, sets, similarity))
     roots_of = components(links)
     labelled = near.join(roots_of.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id"))
@@ -465,5 +469,11 @@ def deduplicated(
     if not more.isEmpty():
         roots_of = components(links.unionByName(more))
     named = vertices.join(roots_of.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    kept = named.groupBy("root").agg(F.min("_least").alias("_least")).select("_least._row")
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    kept = named.groupBy("root").agg(F.min("_least").alias("_least")).select("_least._row", F.lit(True).alias("_kept"))
+    # A row that stays and occurs once needs no shuffle; all others, and few that look like them, are decided by a join.
+    others = sigs.groupBy("_row").agg(F.count("*").alias("k")).join(kept, "_row", "left").where("_kept IS NULL OR k > 1 OR _row IS NULL")
+    others = checkpointed(others.select("_row", F.col("_kept").isNotNull().alias("_kept")))
+    rows = rows.withColumn("_a", F.col("_row.a"))
+    keys = others.select(F.col("_row.a").alias("_a"))
+    decided = likely_in(rows, keys, "_a").join(others, "_row", "left").where("coalesce(_kept, true)").dropDuplicates(["_row"])
+    return likely_in(rows, keys, "_a", without=True).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(decided.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -175,3 +175,12 @@ def test_deduplicated_is_the_same_however_blocks_are_cut(spark):
     cut, whole = (sorted(r.doc_id for r in simhash.deduplicated(df, max_node=m).collect()) for m in (8, 200_000))
     assert cut == whole
     assert set(want) <= set(whole) and len(whole) <= 1.05 * len(want)  # no false link; few of these short texts are missed
+
+
+def test_deduplicated_repeated_rows_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "a", 1), (1, text, "b", 2), (2, text.upper(), "c", 3), (3, "other words " * 9, "d", 4), (3, "other words " * 9, "d", 4), (None, text, "e", 5), (4, None, "f", 6), (5, "", "g", 7), (6, "alone", "h", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sig string, n int")
+    out = simhash.deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 6]
