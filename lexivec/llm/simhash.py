@@ -418,6 +418,13 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
 
 
+def of_labels(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs of different labels that pairs of ``set_id`` stand for."""
+    label = named.select("set_id", "label")
+    both = pairs.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb")
+    return both.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+
+
 def budget_of(similarity: float, bits: int) -> int:
     """Bits that signatures of sets of this similarity may differ in: sets of one size at similarity ``s`` make an angle of
     ``acos(2 s / (1 + s))``, others a smaller one, and differ in that share of their bits; three standard deviations are added."""
@@ -451,24 +458,25 @@ def deduplicated(
     vertices = checkpointed(sigs.groupBy("set_id").agg(F.min(order).alias("_least"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     find = {"bits": bits, "budget": budget_of(similarity, bits), "block": block, "similarity": similarity, "max_node": max_node}
     pairs = checkpointed(candidate_pairs(vertices.withColumn("label", F.col("set_id")), **find))
-    # Whoever has a candidate is in the forest, and in one family with all its candidates.
-    families = checkpointed(components(pairs))
-    families = families.unionByName(families.select(F.col("root").alias("v"), "root").distinct()).select(F.col("v").alias("set_id"), F.col("root").alias("family"))
-    near = checkpointed(vertices.join(families, "set_id").select("set_id", "n", "family", "_least._row"))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    near = checkpointed(vertices.join(met, "set_id").select("set_id", "n", "_least._row"))
     texts = likely_in(rows.select("_row", F.col(f"`{text}`"), F.col("_row.a").alias("_a")), near.select(F.col("_row.a").alias("_a")), "_a")
     sets = written(shingle_sets(texts.join(near.select("_row", "set_id"), "_row").dropDuplicates(["set_id"]), text=text, shingle=shingle, bits=wide))
     links = checkpointed(similar(pairs, sets, similarity))
-    roots_of = components(links)
-    labelled = near.join(roots_of.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id"))
+    named = near.join(components(links).withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id"))
+    named = checkpointed(named.select("set_id", "n", "label"))
+    # Whoever has a candidate is in the forest, so in one family with all its candidates; labels stand for what is linked.
+    families = components(of_labels(pairs, named)).select(F.col("v").alias("label"), F.col("root").alias("family"))
+    labelled = checkpointed(named.join(families, "label", "left").withColumn("family", F.coalesce("family", "label")))
     # A family of two is one pair, which is checked, and one of a single label has nothing left to link.
     open_ = labelled.groupBy("family").agg(F.count("*").alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).where("k > 2 AND x <> y")
     labelled = labelled.join(written(open_.select("family")), "family", "left_semi").join(sets.select("set_id", F.col("wide").alias("sig")), "set_id")
     labelled = checkpointed(labelled.select("set_id", "n", "label", "family", "sig"))
     rest = candidate_pairs(labelled, **find, wide=(wide, budget_of(similarity, wide))).join(pairs, ["a", "b"], "left_anti")
     more = checkpointed(similar(rest, sets, similarity))
-    if not more.isEmpty():
-        roots_of = components(links.unionByName(more))
-    named = vertices.join(roots_of.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    merged = components(of_labels(more, named)).select(F.col("v").alias("label"), "root")
+    named = vertices.join(named.select("set_id", "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    named = named.join(merged, "label", "left").withColumn("root", F.coalesce("root", "label"))
     kept = named.groupBy("root").agg(F.min("_least").alias("_least")).select("_least._row", F.lit(True).alias("_kept"))
     # A row that stays and occurs once needs no shuffle; all others, and few that look like them, are decided by a join.
     others = sigs.groupBy("_row").agg(F.count("*").alias("k")).join(kept, "_row", "left").where("_kept IS NULL OR k > 1 OR _row IS NULL")
