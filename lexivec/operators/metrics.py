@@ -107,6 +107,12 @@ def aggregated(scores: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.agg(F.try_divide(F.sum(F.coalesce("score", F.lit(0.0)) * F.col("weight")), F.sum("weight")).alias("score"))
 
 
+def mse(rows: DataFrame, prediction: str, reference: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The mean squared error and ``n`` of each key, over rows with both values."""
+    gap = F.col(prediction).cast("double") - F.col(reference)
+    return rows.groupBy(*keys).agg(F.avg(gap * gap).alias("mse"), F.count(gap).alias("n"))
+
+
 METRICS = {
     "token_classification": "span_scores",
     "sequence_classification": "classification",

@@ -51,8 +51,8 @@ def perplexity(spark, d):
 
 @query("E5", sql="SELECT l_linestatus, round(avg((l_discount - l_tax) * (l_discount - l_tax)), 9) AS mse, count(*) AS n FROM lineitem GROUP BY l_linestatus")
 def mse(spark, d):
-    gap = F.col("l_discount") - F.col("l_tax")
-    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.round(F.avg(gap * gap), 9).alias("mse"), F.count("*").alias("n"))
+    rows = M.mse(table(spark, d, "lineitem"), "l_discount", "l_tax", ("l_linestatus",))
+    return rows.withColumn("mse", F.round("mse", 9))
 
 
 @query("F15", sql="SELECT vec_id, round(ln(list_sum(list_transform(embedding::DOUBLE[], lambda x: exp(x)))), 9) AS lse FROM embeddings")
