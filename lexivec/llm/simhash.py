@@ -322,30 +322,33 @@ def transposed(sig: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bit[:, order], axis=1)).view(">u8").astype(np.uint64)
 
 
-def candidate_pairs(vertices: DataFrame, *, bits: int, budget: int, block: int, similarity: float, wide: tuple[int, int] | None = None, max_node: int = 200_000) -> DataFrame:
-    """``a``, ``b``: pairs of ``set_id`` in different components (``label``) whose signatures differ in ``budget`` bits or
-    fewer and agree in a block of the signature or of the transposed one; in each task a forest of them.
+def candidate_pairs(vertices: DataFrame, *, bits: int, compared: int, budget: int, block: int, similarity: float, wide: tuple[int, int] | None = None, max_node: int = 200_000) -> DataFrame:
+    """``a``, ``b``: pairs of ``set_id`` whose signatures of ``bits`` agree in a block of the signature or of the transposed one and
+    differ in ``budget`` of their first ``compared`` bits or fewer; in each task a forest of them.  Only those first bits are dealt to the blocks.
 
     With ``wide``, the length and the budget of longer signatures that begin with those of ``bits``, ``sig`` holds the longer ones and every
-    pair is returned that keeps both budgets; only pairs of one ``family`` are looked for, and only where a block of a family has several labels.
+    pair of different components (``label``) is returned that keeps both budgets; only pairs of one ``family`` are looked for, and only
+    where a block of a family has several labels.
     A block value with over ``max_node`` rows is cut into chunks by a hash of the id, and every pair of chunks is a group of its own."""
-    tables, length = blocks(bits, block), wide[0] if wide else bits
-    vertices = vertices.select("set_id", "n", "label", "family" if wide else F.lit(0).cast("long").alias("family"), "sig")
+    tables, length, words = blocks(bits, block), wide[0] if wide else compared, compared // 64
+    kept = ["set_id", "n", "label", "family", "sig"] if wide else ["set_id", "n", "sig"]
 
     def dealer(*names: str):
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for start in range(0, whole.num_rows, 2000):
                     batch = whole.slice(start, 2000)
-                    first = np.ascontiguousarray(batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, length // 64)[:, : bits // 64])
+                    whole_sig = batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+                    first = np.ascontiguousarray(whole_sig[:, : bits // 64])
+                    short = _lists(np.ascontiguousarray(whole_sig[:, : length // 64]))
                     for k, sig in enumerate((first, transposed(first))):
                         for t, (word, shift, width) in enumerate(tables):
                             v = (sig[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                             tv = (v.astype(np.int64) | ((k * len(tables) + t) << width)).astype(np.int32)
-                            yield pa.RecordBatch.from_arrays([pa.array(tv), *(batch.column(c) for c in names)], ["tv", *names])
+                            yield pa.RecordBatch.from_arrays([pa.array(tv), *(short if c == "sig" else batch.column(c) for c in names)], ["tv", *names])
 
         kinds = [f"{c} {'array<long>' if c == 'sig' else 'long'}" for c in names]
-        return vertices.mapInArrow(deal, ", ".join(["tv int", *kinds]))
+        return vertices.select(*kept).mapInArrow(deal, ", ".join(["tv int", *kinds]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
@@ -353,11 +356,11 @@ def candidate_pairs(vertices: DataFrame, *, bits: int, budget: int, block: int,
             return
         table = pa.Table.from_batches(parts)
         whole = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, length // 64)
-        key, size, label = (table.column(c).to_numpy() for c in ("set_id", "n", "label"))
-        group = np.stack([table.column(c).to_numpy() for c in ("family", "tv", "p", "q", "node")])
-        order = np.lexsort([*whole.T[: bits // 64][::-1], *group[::-1]])
+        key, size, label = (table.column(c).to_numpy() for c in ("set_id", "n", "label" if wide else "set_id"))
+        group = np.stack([table.column(c).to_numpy() for c in ("family" if wide else "tv", "tv", "p", "q", "node")])
+        order = np.lexsort([*whole.T[:words][::-1], *group[::-1]])
         whole, group, key, size, label = whole[order], group[:, order], key[order], size[order], label[order]
-        sig = np.ascontiguousarray(whole[:, : bits // 64])
+        sig = np.ascontiguousarray(whole[:, :words])
         _, first, place = np.unique(label, return_index=True, return_inverse=True)
         nodes = roots(group)
         comp, found = first[place], []
@@ -369,7 +372,7 @@ def candidate_pairs(vertices: DataFrame, *, bits: int, budget: int, block: int,
         for k in range(0, pairs.shape[1], 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[:, k : k + 50_000]], ["a", "b"])
 
-    dealt = dealer("set_id", "n", "label", "family", "sig")
+    dealt = dealer(*kept)
     if wide:
         several = dealer("family", "label").groupBy("family", "tv").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         several = written(several.select(F.xxhash64("family", "tv").alias("key")))
@@ -378,8 +381,8 @@ def candidate_pairs(vertices: DataFrame, *, bits: int, budget: int, block: int,
     dealt = dealt.join(F.broadcast(crowded), "tv", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("node", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("tv", "set_id", "n", "label", "family", "sig", "node", F.least("node", "other").alias("p"), F.greatest("node", "other").alias("q"))
-    return dealt.repartition("family", "tv", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    dealt = dealt.select("tv", *kept, "node", F.least("node", "other").alias("p"), F.greatest("node", "other").alias("q"))
+    return dealt.repartition(*(["family"] if wide else []), "tv", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
 def _lists(sig: np.ndarray) -> pa.ListArray:
@@ -440,6 +443,7 @@ def deduplicated(
     shingle: int = 5,
     similarity: float = 0.8,
     bits: int = 512,
+    compared: int = 384,
     wide: int = 2048,
     block: int = 16,
     max_node: int = 200_000,
@@ -447,7 +451,7 @@ def deduplicated(
     """``docs`` with one row of each group of near duplicates: the smallest id, nulls last.
 
     Groups are components of pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more; every link
-    is checked on the sets.  Candidates come from signatures of the sets within ``budget_of`` the similarity;
+    is checked on the sets.  Candidates come from signatures of the sets whose first ``compared`` bits are within ``budget_of`` the similarity;
     ``2 bits / block`` tables find a pair if a block agrees (at 0.8 in about 99 % of pairs of long texts).
     A forest of candidates is checked first; then, in the families that it leaves in parts, every candidate pair of different parts that
     keeps the budget of ``wide`` bits as well, so that a forest's false edge hides no true one.  Rows that repeat id and text become one."""
@@ -456,8 +460,8 @@ def deduplicated(
     order = F.struct(F.col(f"`{id_column}`").isNull(), F.col(f"`{id_column}`"), F.col("_row"))
     sigs = checkpointed(sigs)
     vertices = checkpointed(sigs.groupBy("set_id").agg(F.min(order).alias("_least"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    find = {"bits": bits, "budget": budget_of(similarity, bits), "block": block, "similarity": similarity, "max_node": max_node}
-    pairs = checkpointed(candidate_pairs(vertices.withColumn("label", F.col("set_id")), **find))
+    find = {"bits": bits, "compared": compared, "budget": budget_of(similarity, compared), "block": block, "similarity": similarity, "max_node": max_node}
+    pairs = checkpointed(candidate_pairs(vertices, **find))
     met = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     near = checkpointed(vertices.join(met, "set_id").select("set_id", "n", "_least._row"))
     texts = likely_in(rows.select("_row", F.col(f"`{text}`"), F.col("_row.a").alias("_a")), near.select(F.col("_row.a").alias("_a")), "_a")
