@@ -138,3 +138,15 @@ def masked_positions(tokens: DataFrame, keys: Sequence[str], pos: str, share: fl
     chosen = ranked.where(F.col("_r") <= F.least(F.greatest(F.floor(F.col("_n") * share), F.lit(1)), F.lit(most)))
     die = F.conv(F.substring("_h", 9, 8), 16, 10).cast("long") % 10
     return chosen.select(*keys, pos, F.when(die < 8, "mask").when(die == 8, "keep").otherwise("replace").alias("action"))
+
+
+def masked_examples(tokens: DataFrame, keys: Sequence[str], pos: str, token: str, words: DataFrame, mask: str = "[MASK]", share: float = 0.15, most: int = 20) -> DataFrame:
+    """``keys``, ``pos``, ``input``, ``label``: every token as the model sees it, and the token that stood there where
+    ``masked_positions`` chose it, else null.  A replacement comes from ``words`` (``word``, ``idx`` from 0 on) by hash."""
+    size = F.lit(max(words.count(), 1))
+    drawn = F.conv(F.substring(X.stable_hash(*[F.col(k) for k in keys], F.col(pos)), 17, 8), 16, 10).cast("long") % size
+    chosen = masked_positions(tokens, keys, pos, share, most).withColumn("idx", F.when(F.col("action") == "replace", drawn))
+    new = chosen.join(words.select("idx", F.col("word").alias("_word")), "idx", "left").drop("idx")
+    seen = F.when(F.col("action") == "mask", mask).when(F.col("action") == "replace", F.coalesce("_word", token)).otherwise(F.col(token))
+    both = tokens.select(*keys, pos, token).join(new, [*keys, pos], "left")
+    return both.select(*keys, pos, seen.alias("input"), F.when(F.col("action").isNotNull(), F.col(token)).alias("label"))

@@ -70,7 +70,30 @@ def cloze_batches(pairs: DataFrame, order: Column, size: int) -> DataFrame:
     return dense_ids(pairs, [order], "_n").withColumn("batch", F.floor(F.col("_n") / size)).withColumn("positive", F.col("_n") % size).drop("_n")
 
 
+def label_map(ids: DataFrame, most: int = 2_000) -> Column:
+    """Label to id as a literal map.  A label set holds one row per class; one with over ``most`` raises."""
+    rows = ids.select("label", F.col("id").cast("long")).take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"over {most} labels: use with_label_ids")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return F.create_map(*[F.lit(x) for row in rows for x in row]) if rows else empty
+
+
+def _known(ids: Column, label: Column) -> Column:
+    unknown = F.raise_error(F.concat(F.lit("unknown label "), label)).cast("long")
+    return F.when(label.isNull(), F.lit(None).cast("long")).otherwise(F.coalesce(F.try_element_at(ids, label), unknown))
+
+
+def token_label_ids(word_ids: Column, labels: Column, ids: Column) -> Column:
+    """The id of its word's label for every token; tokens of no word (null) are IGNORED, those of the first word are not."""
+    of_word = F.transform(labels, lambda label: _known(ids, label))
+    return F.transform(word_ids, lambda w: F.when(w.isNull(), F.lit(IGNORED).cast("long")).otherwise(F.get(of_word, w)))
+
+
 REQUIRED = {
+    "sequence_classification": ("text", "label"),
+    "multi_label_classification": ("text", "labels"),
+    "token_classification": ("word_ids", "labels"),
     "embeds_seq2seq": ("inputs_embeds", "decoder_inputs_embeds"),
     "embeds_regression": ("inputs_embeds", "decoder_inputs_embeds", "labels"),
     "span_offsets": ("start_position", "end_position"),
@@ -79,11 +102,21 @@ REQUIRED = {
 }
 
 
-def convert(rows: DataFrame, task_type: str) -> DataFrame:
-    """The columns that a task's model takes; unknown tasks and missing columns raise."""
+def convert(rows: DataFrame, task_type: str, ids: DataFrame | None = None) -> DataFrame:
+    """The columns that a task's model takes; unknown tasks and missing columns raise.  Tasks whose labels are
+    classes need ``ids`` (``label_ids``); a label that it lacks fails the job, a null label stays null."""
     if task_type not in REQUIRED:
         raise ValueError(f"no converter for task type {task_type!r}")
     require_columns(rows, *REQUIRED[task_type])
+    if task_type.endswith("_classification"):
+        if ids is None:
+            raise ValueError(f"{task_type} needs label ids")
+        known = label_map(ids)
+        if task_type == "token_classification":
+            return rows.select("word_ids", token_label_ids(F.col("word_ids"), F.col("labels"), known).alias("labels"))
+        if task_type == "multi_label_classification":
+            return rows.select("text", V.multi_hot(F.transform("labels", lambda label: _known(known, label)), ids.count()).alias("labels"))
+        return rows.select("text", _known(known, F.col("label")).alias("labels"))
     if task_type == "inverse_cloze":
         return rows.where("has_answer").select("question", "context")
     return rows.select(*REQUIRED[task_type])

@@ -113,6 +113,29 @@ def mse(rows: DataFrame, prediction: str, reference: str, keys: Sequence[str] =
     return rows.groupBy(*keys).agg(F.avg(gap * gap).alias("mse"), F.count(gap).alias("n"))
 
 
+def tagged_spans(rows: DataFrame, keys: Sequence[str], predictions: str, references: str, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Predicted and reference spans of rows that hold a list of class ids each; ignored references are left out of both."""
+    label = F.array(*[F.lit(n) for n in names])
+    zipped = F.filter(F.arrays_zip(F.col(predictions).alias("p"), F.col(references).alias("r")), lambda x: x["r"] != IGNORED)
+    tokens = rows.select(*keys, F.posexplode(zipped).alias("_pos", "_x"))
+    side = lambda c: bio_spans(tokens.select(*keys, "_pos", F.get(label, F.col(f"_x.{c}").cast("int")).alias("_l")), keys, "_pos", "_l")
+    return side("p"), side("r")
+
+
+def evaluated(rows: DataFrame, task_type: str, *, predictions: str = "predictions", references: str = "labels", names: Sequence[str] = (), key: str = "id") -> DataFrame:
+    """The metrics of a task type from what its model gives: class tasks and language models a list of logits a row, token
+    classification a list of such lists (``names`` of the classes, ``key`` of the row), regression a number."""
+    metric = metric_for(task_type)
+    if metric == "mse":
+        return mse(rows, predictions, references)
+    if metric == "perplexity":
+        return rows.where(F.col(references) != IGNORED).agg(perplexity(F.col(predictions), F.col(references)).alias("perplexity"))
+    if metric == "span_scores":
+        best = rows.select(key, F.transform(predictions, lambda v: V.argmax(v)).alias("_p"), F.col(references).alias("_r"))
+        return span_scores(*tagged_spans(best, [key], "_p", "_r", names), [key])
+    return classification(rows.select(V.argmax(F.col(predictions)).alias("_p"), F.col(references).cast("long").alias("_r")), "_p", "_r", "weighted")
+
+
 METRICS = {
     "token_classification": "span_scores",
     "sequence_classification": "classification",

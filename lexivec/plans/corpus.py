@@ -129,3 +129,18 @@ def truncated_pairs(spark, d):
     rows = rows.withColumn("b", F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL")
     first, second = C.truncated_pair(F.col("a"), F.col("b"), 60, C.hash_number(F.col("conv_id"), F.col("turn")) % 2 == 0)
     return rows.select("conv_id", "turn", F.size(first).cast("long").alias("n_first"), F.size(second).cast("long").alias("n_second"))
+
+
+@query("B8", sql=r"""
+WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM conversations),
+p AS (SELECT conv_id, turn, unnest(w) AS t, unnest(range(len(w))) AS pos, len(w) AS n FROM w),
+v AS (SELECT t AS word, row_number() OVER (ORDER BY t) - 1 AS idx FROM (SELECT DISTINCT t FROM p)), c AS (SELECT count(*) AS c FROM v),
+h AS (SELECT *, md5(concat_ws('|', conv_id, turn, pos, '42')) AS h FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY h) AS r FROM h),
+a AS (SELECT *, r <= least(greatest(floor(n * 0.15), 1), 20) AS chosen, ('0x' || substr(h, 9, 8))::BIGINT % 10 AS x, ('0x' || substr(h, 17, 8))::BIGINT % c AS idx FROM r, c)
+SELECT conv_id, turn, pos::INTEGER AS pos, CASE WHEN chosen AND x < 8 THEN '[MASK]' WHEN chosen AND x > 8 THEN word ELSE t END AS input, CASE WHEN chosen THEN t END AS label FROM a LEFT JOIN v USING (idx)""")
+def mlm_examples(spark, d):
+    from lexivec.operators.relational import dense_ids
+
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.words(F.col("text"))).alias("pos", "token"))
+    words = dense_ids(rows.select(F.col("token").alias("word")).distinct(), ["word"], "idx")
+    return C.masked_examples(rows, ["conv_id", "turn"], "pos", "token", words)

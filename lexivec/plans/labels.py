@@ -132,3 +132,27 @@ def token_type_zeros(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.size(X.words(F.col("text"))).alias("n"))
     mask = F.transform(F.sequence(F.lit(0), F.col("n") + 1), lambda i: F.when((i == 0) | (i == F.col("n") + 1), 0).otherwise(1))
     return rows.select("conv_id", "turn", (F.col("n") + 2).cast("long").alias("width"), F.array_repeat(F.lit(0), F.col("n") + 2).alias("token_type_ids"), mask.alias("token_mask"))
+
+
+@query("C2", "C7", "J5", sql=f"""
+WITH w AS (SELECT conv_id, turn, {_WORDS.format('text')} AS t FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT conv_id, turn, t, flatten(list_transform(range(len(t)), lambda i: CASE WHEN length(t[i + 1]) > 6 THEN [i, i] ELSE [i] END)) AS k FROM w)
+SELECT md5(array_to_string(list_transform(list_concat([-1], k, [-1]), lambda i: CASE WHEN i < 0 THEN -100 ELSE CASE length(t[i + 1]) % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END END), ',')) AS labels,
+  len(k) + 2 AS width FROM v WHERE len(t) > 0""")
+def token_classification_rows(spark, d):
+    words = table(spark, d, "conversations").where("conv_id IS NOT NULL").select(X.words(F.col("text")).alias("t")).where(F.size("t") > 0)
+    kinds = F.transform("t", lambda w: F.element_at(F.array(F.lit("B-E"), F.lit("I-E"), F.lit("O")), (F.length(w) % 3 + 1).cast("int")))
+    pieces = F.flatten(F.transform("t", lambda w, i: F.when(F.length(w) > 6, F.array(i, i)).otherwise(F.array(i))))
+    outside = F.array(F.lit(None).cast("int"))
+    rows = words.select(F.concat(outside, pieces, outside).alias("word_ids"), kinds.alias("labels"))
+    ids = L.bio_label_ids(spark.createDataFrame([("E",)], "label string"))
+    out = L.convert(rows, "token_classification", ids)
+    return out.select(F.md5(F.array_join("labels", ",")).alias("labels"), F.size("labels").cast("long").alias("width"))
+
+
+@query("C1", "C7", sql="""
+WITH v AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM (SELECT DISTINCT lang AS label FROM documents WHERE lang IS NOT NULL))
+SELECT md5(text) AS text, id AS labels FROM documents LEFT JOIN v ON lang = label""")
+def sequence_classification_rows(spark, d):
+    docs = table(spark, d, "documents").select("text", F.col("lang").alias("label"))
+    return L.convert(docs, "sequence_classification", L.label_ids(docs.select("label"))).select(F.md5("text").alias("text"), "labels")

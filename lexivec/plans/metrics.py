@@ -82,3 +82,37 @@ SELECT s AS step, round(0.01 / (1 + 0.05 * (s - 1)), 12) AS decayed, round(CASE
 def learning_rates(spark, d):
     steps = spark.range(1, 1001).withColumnRenamed("id", "step")
     return steps.select("step", F.round(V.decayed_rate(0.01, 0.05, F.col("step")), 12).alias("decayed"), F.round(V.warmup_rate(1e-5, 100, F.col("step")), 12).alias("warmed"))
+
+
+@query("E8", "E1", "E4", "E5", "W4", sql=f"""
+WITH t AS (SELECT label::BIGINT AS r, list_position(embedding[1:10], list_max(embedding[1:10]))::BIGINT - 1 AS p FROM embeddings), {_CLASS.format('t')}
+SELECT 'sequence_classification' AS task, round(sum(f1 * nr) / sum(nr), 9) AS value FROM g
+UNION ALL SELECT 'regression', round(avg((l_discount - l_tax) * (l_discount - l_tax)), 9) FROM lineitem
+UNION ALL SELECT 'causal_lm', round(exp(avg(-(v[label + 1] - ln(list_sum(list_transform(v, lambda x: exp(x))))))), 6) FROM (SELECT embedding::DOUBLE[] AS v, label FROM embeddings)""")
+def metric_dispatch(spark, d):
+    scored = table(spark, d, "embeddings").select(F.col("embedding").alias("logits"), F.slice("embedding", 1, 10).alias("predictions"), F.col("label").alias("labels"))
+    line = table(spark, d, "lineitem")
+    parts = [
+        ("sequence_classification", M.evaluated(scored, "sequence_classification"), F.round("f1", 9)),
+        ("regression", M.evaluated(line, "regression", predictions="l_discount", references="l_tax"), F.round("mse", 9)),
+        ("causal_lm", M.evaluated(scored, "causal_lm", predictions="logits"), F.round("perplexity", 6)),
+    ]
+    rows = [df.select(F.lit(task).alias("task"), value.alias("value")) for task, df, value in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("E8", "E3", sql="""
+WITH t AS (SELECT vec_id // 8 AS id, vec_id % 8 AS pos, vec_id, ['B-X', 'I-X', 'O'] AS names, label % 3 AS r, list_position(embedding[1:3], list_max(embedding[1:3])) - 1 AS p FROM embeddings WHERE vec_id % 11 <> 0),
+n AS (SELECT 'r' AS side, id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS pos, names[r + 1] AS tag FROM t UNION ALL SELECT 'p', id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1, names[p + 1] FROM t),
+m AS (SELECT *, lag(tag) OVER (PARTITION BY side, id ORDER BY pos) AS b FROM n),
+g AS (SELECT *, sum(CASE WHEN tag LIKE 'I-%' AND b <> 'O' THEN 0 ELSE 1 END) OVER (PARTITION BY side, id ORDER BY pos) AS g FROM m),
+s AS (SELECT side, id, min(pos) AS first, max(pos) AS last FROM g WHERE tag <> 'O' GROUP BY side, id, g HAVING arg_min(tag, pos) LIKE 'B-%')
+SELECT (SELECT count(*) FROM (SELECT id, first, last FROM s WHERE side = 'p' INTERSECT SELECT id, first, last FROM s WHERE side = 'r')) AS tp,
+  count(*) FILTER (side = 'p') AS n_pred, count(*) FILTER (side = 'r') AS n_ref FROM s""")
+def token_metric_dispatch(spark, d):
+    from lexivec.operators.vectors import sequences
+
+    steps = sequences(table(spark, d, "embeddings"), 8, keep=["label", "vec_id"])
+    ref = F.transform("steps", lambda s: F.when(s["vec_id"] % 11 == 0, M.IGNORED).otherwise(s["label"] % 3))
+    rows = steps.select(F.col("seq").alias("id"), F.transform("steps", lambda s: F.slice(s["v"], 1, 3)).alias("predictions"), ref.alias("labels"))
+    return M.evaluated(rows, "token_classification", names=["B-X", "I-X", "O"]).select("tp", "n_pred", "n_ref")

@@ -244,3 +244,20 @@ def test_task_settings():
     for bad in ({"domain": "d"}, {**settings_, "x": {"type": "no"}}, {**settings_, "x": {"type": "regression"}}):
         with pytest.raises(ValueError):
             parse_task_set(bad)
+
+
+def test_label_conversion_edges(spark):
+    ids = spark.createDataFrame([("a", 0), ("b", 1)], "label string, id long")
+    rows = spark.createDataFrame([("x", "b"), ("y", None)], "text string, label string")
+    assert [r.labels for r in labels.convert(rows, "sequence_classification", ids).collect()] == [1, None]
+    many = spark.createDataFrame([("x", ["b"]), ("y", [])], "text string, labels array<string>")
+    assert [r.labels for r in labels.convert(many, "multi_label_classification", ids).collect()] == [[0.0, 1.0], [0.0, 0.0]]
+    tokens = spark.createDataFrame([([None, 0, 0, 1, None], ["b", "a"]), ([], [])], "word_ids array<int>, labels array<string>")
+    assert [r.labels for r in labels.convert(tokens, "token_classification", ids).collect()] == [[-100, 1, 1, 0, -100], []]
+    with pytest.raises(ValueError, match="label ids"):
+        labels.convert(rows, "sequence_classification")
+    with pytest.raises(Exception, match="unknown label c"):
+        labels.convert(spark.createDataFrame([("x", "c")], "text string, label string"), "sequence_classification", ids).collect()
+    with pytest.raises(ValueError, match="with_label_ids"):
+        labels.label_map(ids, most=1)
+    assert labels.convert(rows.where("label = 'none'"), "sequence_classification", ids.where("id < 0")).count() == 0
