@@ -26,11 +26,16 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
 
 
-def snapshots(spark: SparkSession, folder: str) -> list[str]:
-    """The snapshot names in a folder, oldest first (a directory listing)."""
+def entries(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the files and folders right in a folder, in order (a directory listing)."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in store.listStatus(path) if SNAPSHOT.match(s.getPath().getName()))
+    return sorted(s.getPath().getName() for s in store.listStatus(path))
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[str]:
+    """The snapshot names in a folder, oldest first."""
+    return [name for name in entries(spark, folder) if SNAPSHOT.match(name)]
 
 
 def latest_snapshot(spark: SparkSession, folder: str) -> str:
@@ -68,8 +73,8 @@ def fetch(spark: SparkSession, spec: FetchSpec) -> DataFrame:
 
 
 def splits(spark: SparkSession, folder: str, read) -> DataFrame:
-    """``read(spark, path)`` of the train, dev and test files that there are, with their ``split``."""
-    present = {row.path.rsplit("/", 1)[-1].split(".")[0] for row in listing(spark, folder).select("path").collect()}  # file names
+    """``read(spark, path)`` of the train, dev and test files (or folders of files) that there are, with their ``split``."""
+    present = {name.removesuffix(".jsonl") for name in entries(spark, folder)}
     parts = [read(spark, f"{folder.rstrip('/')}/{name}.jsonl").withColumn("split", F.lit(split)) for name, split in SPLITS.items() if name in present]
     if not parts:
         raise FileNotFoundError(f"no train, dev or test file in {folder}")
