@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import ann, bpe, langid, linededup, packing, secrets, simhash, toxicity, warc
+from lexivec.llm import ann, bpe, langid, linededup, packing, resampling, secrets, simhash, spelling, toxicity, warc
 from lexivec.llm.common import only, spread, table
 from lexivec.llm.quality import BOILERPLATE, MENU, quality_rules
 
@@ -136,6 +136,59 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 FROM x
 """
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return spelling.spelling_groups(spelling.word_counts(docs, change=spelling.thinned))
+
+
+# CRC-32 by SQL: a table of 256 remainders, and a fold over the bytes of a string.
+_CRC_TABLE = """crc AS (SELECT list(c ORDER BY i) AS rest FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1])), 4294967295)"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+run AS (SELECT id, run, count(*) AS c FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, c, {_CRC.format("(id || ':' || run)")} AS h FROM run, crc),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+gone AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+ins AS (SELECT DISTINCT g.word AS a, g.n AS an, w.word AS b, w.n AS bn FROM gone g JOIN w ON w.word = g.s),
+pair AS (SELECT a.word AS word, b.word AS other, b.n AS n FROM gone a JOIN gone b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT a, b, bn FROM ins UNION ALL SELECT b, a, an FROM ins),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS form_n FROM pair GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN other END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, form AS ahead FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.ahead)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM f JOIN walk USING (word) WHERE walk.ahead IS NULL
+"""
+
+
+def op12_word_trie_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    found = resampling.resample(docs, table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, min_words=20, percent=10, seed="2024")
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+word AS (SELECT r, w, count(*) AS c FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY ALL),
+every AS (SELECT w, sum(s) AS s, sum(t) AS t FROM (SELECT w, c AS s, 0 AS t FROM word UNION ALL SELECT w, 0, 1 FROM b) GROUP BY w),
+bucket AS (SELECT w, s, t, {_CRC.format("w")} % 10000 AS k FROM every, crc),
+total AS (SELECT k, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM bucket GROUP BY k),
+gain AS (SELECT k, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM total) + 10000) / ((s + 1) * ((SELECT sum(t) FROM total) + 10000))))::BIGINT AS g FROM total),
+sums AS (SELECT r, sum(c * g)::BIGINT AS g FROM word JOIN bucket USING (w) JOIN gain USING (k) GROUP BY r),
+x AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, CASE WHEN len(w) > 0 THEN floor(g::DOUBLE / len(w))::BIGINT ELSE 0 END AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN sums USING (r)),
+y AS (SELECT r, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM x),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM ranked) * 10 // 100 THEN rank END AS rank FROM y LEFT JOIN ranked USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_transducer": op1_bpe_transducer,
     "op2_cross_polytope": op2_cross_polytope,
@@ -147,8 +200,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_components": op8_simhash_components,
     "op9_secret_battery": op9_secret_battery,
     "op10_template_line_dedup": op10_template_line_dedup,
+    "op11_spelling_groups": op11_spelling_groups,
+    "op12_word_trie_resampling": op12_word_trie_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_packages": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
+    "op11_spelling_groups": OP11_SQL,
+    "op12_word_trie_resampling": OP12_SQL,
 }
