@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import ann, bpe, langid, linededup, packing, resampling, secrets, simhash, spelling, toxicity, warc
+from lexivec.llm import ann, bpe, langid, linededup, packing, resampling, secrets, simhash, spelling, suffixes, toxicity, warc
 from lexivec.llm.common import only, spread, table
 from lexivec.llm.quality import BOILERPLATE, MENU, quality_rules
 
@@ -189,6 +189,13 @@ ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM ranked) * 10 // 100 THEN rank END AS rank FROM y LEFT JOIN ranked USING (r)
 """
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return suffixes.without_repeats(docs, length=100).select(
+        "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_transducer": op1_bpe_transducer,
     "op2_cross_polytope": op2_cross_polytope,
@@ -202,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_line_dedup": op10_template_line_dedup,
     "op11_spelling_groups": op11_spelling_groups,
     "op12_word_trie_resampling": op12_word_trie_resampling,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_packages": OP3_SQL,
