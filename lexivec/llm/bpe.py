@@ -144,8 +144,17 @@ class Vocabulary:
         return out
 
     def _merge_long(self, word: bytes) -> bytes:
-        """One word by a heap of pairs, in n log n."""
+        """One word: all merges of the lowest rank at once while they are many (runs of one character), then by a heap of pairs, in n log n."""
         ids = self.base[np.frombuffer(word, np.uint8)]
+        while len(ids) > 1:
+            rank = self.ranks(ids[:-1], ids[1:])
+            at = np.flatnonzero(rank == rank.min())
+            if 32 * len(at) < len(ids) or rank[at[0]] == NONE:
+                break
+            run = np.arange(len(at)) - np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], np.arange(len(at)), 0))
+            at = at[run % 2 == 0]
+            ids[at] = self.merged[rank[at]]
+            ids = np.delete(ids, at + 1)
         after = list(range(1, len(ids))) + [-1]
         before = list(range(-1, len(ids) - 1))
         heap = [(int(r), i) for i, r in enumerate(self.ranks(ids[:-1], ids[1:])) if r != NONE]

@@ -7,13 +7,12 @@
    generalises the places that differ.  Two linked lines of n tokens differ in ``k = n - ceil(similarity n)`` places or fewer, so
    they agree in one of ``k + 1`` bands of places: lines are dealt by band, and no task holds a leaf whole.  The
    result depends neither on the order of the lines nor on how a leaf is split.
-3. A template recurs if lines in ``min_docs`` documents or more match it; every document is a witness.  Recurring templates are
-   dropped from all documents but copies: a document with ``copy_share`` or more of its tokens in lines that one other
-   document has too is a copy, as is that other one.  Both are left whole to document deduplication, which keeps one of
-   them; dropping their lines would leave nothing of the text anywhere.
+3. A template recurs if lines in ``min_docs`` different texts or more match it.  Recurring templates are dropped from all of
+   them but one, the text with the smallest hash among those that hold it: whatever is dropped stays in one text, also of a
+   family of near copies.  The texts alone decide; neither ids nor the order or partition of rows do.
 
-Defined cases: a null text stays null, an empty one empty; lines without a token are kept; rows that repeat id and text
-count as one document; an empty table gives an empty result; clashing columns of the input are kept, the
+Defined cases: a null text stays null, an empty one empty; lines without a token are kept; equal texts count as
+one and keep or lose the same lines (document deduplication is what drops all but one of them); an empty table gives an empty result; clashing columns of the input are kept, the
 operator's own names begin with ``_``.
 """
 
@@ -22,11 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import checkpointed, likely_in, row_key, spread, written
+from lexivec.llm.common import checkpointed, likely_in, spread, written
 from lexivec.llm.simhash import components
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -120,40 +120,40 @@ def templates(lines: DataFrame, *, min_docs: int, similarity: float, depth: int,
     return named.join(often, "tid", "left_semi").select("h", "tid")
 
 
-def recurring_lines(lines: DataFrame, *, min_docs: int, similarity: float, depth: int, copy_share: float, max_group: int) -> DataFrame:
+def recurring_lines(lines: DataFrame, *, min_docs: int, similarity: float, depth: int, max_group: int) -> DataFrame:
     """``_row`` and ``_drop``, the places of its lines to drop."""
     named = written(templates(lines, min_docs=min_docs, similarity=similarity, depth=depth, max_group=max_group).dropDuplicates(["h"]))
-    hits = likely_in(lines.select("_row", "pos", "n", "h"), named, "h").join(named, "h").select("_row", "pos", "n", "tid")
+    hits = likely_in(lines.select("_row", "pos", "h"), named, "h").join(named, "h").select("_row", "pos", "tid")
     hits = checkpointed(hits)
-    documents = hits.select("tid", "_row").distinct().groupBy("tid").agg(F.count("*").alias("k"))
-    recurring = written(documents.where(F.col("k") >= min_docs).select("tid"))
-    hits = checkpointed(hits.join(recurring, "tid", "left_semi"))
-    return hits.join(copies(lines, hits, copy_share), "_row", "left_anti").groupBy("_row").agg(F.sort_array(F.collect_list("pos")).alias("_drop"))
+    texts = hits.select("tid", "_row").distinct().groupBy("tid").agg(F.count("*").alias("k"), F.min("_row").alias("_witness"))
+    recurring = written(texts.where(F.col("k") >= min_docs).select("tid", "_witness"))
+    return hits.join(recurring, "tid").where(F.col("_row") != F.col("_witness")).groupBy("_row").agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
 
 
-def copies(lines: DataFrame, hits: DataFrame, copy_share: float) -> DataFrame:
-    """``_row`` of the documents with ``copy_share`` or more of their tokens in lines that one other document has too."""
-    inside = hits.groupBy("_row").agg(F.sum("n").alias("inside"))
-    enough = lambda n: F.col(n) >= copy_share * F.col("all") - 1e-9
-    most = checkpointed(lines.groupBy("_row").agg(F.sum("n").alias("all")).join(inside, "_row").where(enough("inside")).select("_row", "all"))
-    held = checkpointed(hits.join(most, "_row"))
-    first = written(held.groupBy("tid").agg(F.min("_row").alias("_first")))
-    pairs = held.join(first, "tid").groupBy("_row", "_first").agg(F.sum("n").alias("shared"), F.first("all").alias("all")).where(enough("shared"))
-    pairs = pairs.where(F.col("_row") != F.col("_first")).select(F.explode(F.array("_row", "_first")).alias("_row"))
-    return written(pairs.distinct())
-
-
-def drop_recurring_lines(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", min_docs: int = 3, similarity: float = 0.8, depth: int = 3, copy_share: float = 0.7, max_group: int = 512) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 3, similarity: float = 0.8, depth: int = 3, max_group: int = 512) -> DataFrame:
     """``docs`` with ``text`` cleaned, ``_n_lines`` and ``_n_dropped``."""
-    rows = docs.withColumn("_row", row_key(id_column, text))
-    lines = written(line_table(spread(rows.select("_row", F.col(f"`{text}`"))), text, depth))
-    drops = recurring_lines(lines, min_docs=min_docs, similarity=similarity, depth=depth, copy_share=copy_share, max_group=max_group)
+    t = F.col(f"`{text}`")
+    rows = docs.withColumn("_row", F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t, F.lit(2)).alias("b")))
+    lines = written(line_table(spread(rows.select("_row", t)), text, depth))
+    drops = recurring_lines(lines, min_docs=min_docs, similarity=similarity, depth=depth, max_group=max_group)
     rows = rows.join(drops, "_row", "left")
-    parts = F.split(F.col(f"`{text}`"), "\n")
-    clean = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    clean = F.when(F.col("_drop").isNull(), F.col(f"`{text}`")).otherwise(clean)
+    parts = F.split(t, "\n")
+    less = _kept_lines(F.when(F.col("_drop").isNotNull(), t), F.col("_drop"))
     return rows.select(
-        *[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_n_lines"),
+        *[F.when(F.col("_drop").isNull(), t).otherwise(less).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        F.when(t.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_n_lines"),
         F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("_n_dropped"),
     )
+
+
+def _kept_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines at the given places."""
+
+    def kept(texts: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for t, drop in zip(texts, places, strict=True):
+            drop = set() if t is None else set(drop.tolist())
+            out.append(None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(kept, "string")(text, gone)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.bpe import PATTERN, Vocabulary, pieces
+from lexivec.llm.bpe import PATTERN, Vocabulary, pieces, split_words, vocabulary_at
 from lexivec.llm.common import checkpointed
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -43,6 +43,19 @@ def tokenizer(vocab_path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=vocab.added)
 
 
+def encoded(coder: tiktoken.Encoding, vocab_path: str, text: str) -> np.ndarray:
+    """The ids of a text.  The library's splitter gives up on very long runs of white space; our own splitter and merges take those texts."""
+    try:
+        ids = coder.encode(text, allowed_special="all")
+    except ValueError:
+        vocab = vocabulary_at(vocab_path)
+        words = next(split_words([text], vocab.added))
+        new = list(set(words) - vocab.added.keys())
+        known = dict(zip(new, vocab.merge([w.encode() for w in new]), strict=True)) | {k: np.int32(v).tobytes() for k, v in vocab.added.items()}
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+    return np.array(ids, "<u4")
+
+
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item; items go, longest first, to the fullest bin that holds them."""
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
@@ -97,7 +110,7 @@ def pack(
         for whole in batches:
             for batch in pieces(whole):
                 for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.append(np.array(coder.encode(body or "", allowed_special="all"), "<u4"), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(encoded(coder, vocab_path, body or ""), np.uint32(end_id)).astype("<u4")
                     rows += [(doc, k, a, n, zlib.crc32(ids[a : a + n].tobytes())) for k, (a, n) in enumerate(cut(len(ids), capacity))]
         if rows:
             df = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])

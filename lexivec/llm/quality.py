@@ -133,7 +133,8 @@ def _marks(line: Column, marks: str) -> Column:
 def _fails(line: Column, n: Column, phrase: Column, long_line: int, menu_words: int) -> Column:
     low = F.lower(line)
     boilerplate = phrase & low.rlike("|".join(BOILERPLATE))
-    menu = (n <= menu_words) & low.rlike(r"^[^a-z]*((" + "|".join(MENU) + r")[^a-z]*)+$")
+    # No group is repeated in a pattern: the matcher would recurse once for each repetition, and a long line end its stack.
+    menu = (n <= menu_words) & low.rlike("[a-z]") & ~F.regexp_replace(low, "|".join(MENU), "").rlike("[a-z]")
     navigation = (3 * _marks(line, "|»›>") >= n) | menu
     punctuation = ((n >= long_line) & (_marks(line, ".!?:;…") == 0)) | (_marks(line, "#*$%&|<>") > n)
     return boilerplate | navigation | punctuation

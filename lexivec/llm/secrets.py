@@ -25,10 +25,13 @@ from __future__ import annotations
 import math
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,9 +69,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float, float]]:
     """Start, end, encoding, chi-squared statistic and the sum of the scores of runs and correlation."""
     out = []
+    starts = [s for s, _, _ in taken]  # sorted
+    ends = list(accumulate((e for _, e, _ in taken), max))
     for m in RUN.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, e, _ in taken):
+        before = bisect_left(starts, b)
+        if before and ends[before - 1] > a:
             continue
         codes = np.frombuffer(m[0].encode(), np.uint8)
         k = next(k for k, s in enumerate(SYMBOLS) if s[codes].min() >= 0)
@@ -208,11 +214,22 @@ def span_text(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with every span replaced by ``mark``; overlapping spans become one mark."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
-        F.greatest(a["at"], s["end"]).alias("at"),
-    )
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """The text with every span replaced by ``mark``; overlapping spans become one mark.  One pass over the spans."""
+
+    def replaced(texts: pd.Series, edges: pd.Series) -> pd.Series:
+        out = []
+        for t, flat in zip(texts, edges, strict=True):
+            if t is None:
+                out.append(None)
+                continue
+            parts, at = [], 0
+            for a, b in zip(flat[::2].tolist(), flat[1::2].tolist(), strict=True):
+                if a >= at:
+                    parts += [t[at:a], mark]
+                at = max(at, b)
+            out.append("".join([*parts, t[at:]]))
+        return pd.Series(out, dtype=object)
+
+    some = F.size(spans) > 0
+    edges = F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"])))
+    return F.when(some, F.pandas_udf(replaced, "string")(F.when(some, text), F.when(some, edges))).otherwise(text)

@@ -360,7 +360,8 @@ def _removed(rows: DataFrame, columns: list[str], text: str, length: int, any_sp
     raw = F.coalesce(t, F.lit("")).cast("binary")
     size = F.octet_length(raw).cast("long")
     if any_spans:
-        rows = rows.withColumn("_r", F.when(F.col("_s").isNotNull(), _cleaner(length)(t, F.col("_s"))))
+        some = F.col("_s").isNotNull()
+        rows = rows.withColumn("_r", F.when(some, _cleaner(length)(F.when(some, t), F.col("_s"))))
     else:
         rows = rows.withColumn("_r", F.lit(None).cast("struct<kept: binary, clean: string, spans: long>"))
     kept = F.coalesce(F.col("_r.kept"), raw)

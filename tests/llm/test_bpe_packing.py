@@ -103,3 +103,9 @@ def test_best_fit_prefers_fullest_bin():
     bins, offsets = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert bins.tolist() == [0, 1, 0, 1, 1]
     assert offsets.tolist() == [0, 0, 6, 5, 8]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_000_000, "a b <|endoftext|> " + " " * 1_000_000 + "é", "\r\n" * 600_000])
+def test_long_white_space(library, text):
+    ids = packing.encoded(packing.tokenizer(vocabulary()), vocabulary(), text)
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids

@@ -67,3 +67,10 @@ def test_op4_empty_table_and_native_plan(spark, tmp_path):
     assert out.count() == 0
     text = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", text)
+
+
+def test_long_lines_of_menu_words_and_marks(spark):
+    lines = ["home" * 5_000, "home | " * 150_000, "|" * 1_000_000, "menu" * 250_000 + "x", "»home" * 200_000]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(lines)], "doc_id long, text string, n_lines string")
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert [got[i].n_lines_removed for i in range(5)] == [1, 1, 1, 0, 1]
