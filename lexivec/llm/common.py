@@ -36,10 +36,10 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def likely_in(rows: DataFrame, keys: DataFrame, key: str, without: bool = False) -> DataFrame:
-    """Rows whose ``key`` may be one of ``keys``, by a bitmap of ``MAP_WORDS`` longs: a broadcast that never grows.
+def likely_in(rows: DataFrame, keys: DataFrame, key: str, without: bool = False, words: int = MAP_WORDS) -> DataFrame:
+    """Rows whose ``key`` may be one of ``keys``, by a bitmap of ``words`` longs: a broadcast that never grows.
     Where it fills up, more rows stay; none is lost.  ``without`` gives all the other rows."""
-    word = F.pmod(F.shiftright(key, 6), F.lit(MAP_WORDS)).alias("_word")
+    word = F.pmod(F.shiftright(key, 6), F.lit(words)).alias("_word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))
     bits = keys.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
     near = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")

@@ -34,6 +34,7 @@ from lexivec.llm.common import likely_in, spread, written
 
 SLICE = 4 << 20  # bytes of text that are cut into segments at once
 BLOCK = 1 << 20  # bytes of segments that are sorted at once
+FILTER_WORDS = 1 << 20  # longs in the bitmap of shared anchors
 PLACE = np.uint64((1 << 24) - 1)
 ITEM = "key long, id long, h long, start long, n long, a int, b int, body binary"
 NO_ID = -(1 << 63)
@@ -337,7 +338,7 @@ def compared(items: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(rows: DataFrame, *, length: int = 100, gram: int = 32, max_group: int = 4096, piece: int = SLICE) -> DataFrame:
     """``REPEAT`` rows for ``rows`` (id, h, text): ``n`` strings of ``length`` bytes from ``start`` on start earlier elsewhere, too."""
     shared = anchors(rows, length, gram, piece).where("k > 1").select("key")
-    items = written(likely_in(dealt(rows, length, gram, piece), shared, "key"))
+    items = written(likely_in(dealt(rows, length, gram, piece), shared, "key", words=FILTER_WORDS))
     calm, found = balanced(items, length, max_group)
     return compared(calm, length).unionByName(found)
 
