@@ -99,6 +99,18 @@ def interleaved(tasks: DataFrame, task: str, batches: str, seed: int = 42) -> Da
     return dense_ids(each, [stable_hash(F.col(task), F.col("batch"), seed=seed), task, "batch"], "position")
 
 
+def followed(links: DataFrame) -> DataFrame:
+    """``id``, ``last``: the end of the chain that starts at each ``id`` of ``links`` (``id``, ``next``, no cycles).
+    Each round looks twice as far ahead and is checkpointed."""
+    step = checkpointed(links.select("id", F.col("next").alias("last")))
+    while True:
+        ahead = step.select(F.col("id").alias("last"), F.col("last").alias("then"))
+        step = checkpointed(step.join(ahead, "last", "left").select("id", F.coalesce("then", "last").alias("last"), F.col("then").isNotNull().alias("moved")))
+        if step.where("moved").isEmpty():
+            return step.drop("moved")
+        step = step.drop("moved")
+
+
 MAP_WORDS = 1 << 17
 
 

@@ -122,6 +122,54 @@ def test_blocks_change_no_cluster(spark, method):
     assert got[24] == got[0]
 
 
+def clustered(sets, method, threshold):
+    ids = sorted(sets)
+    d = np.array([[1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in ids] for a in ids])
+    cluster, joined = C.cut(C.linkage(np.round(d, 12), method), len(ids), threshold)
+    return {i: (ids[c], 0.0 if np.isnan(j) else round(j, 9)) for i, c, j in zip(ids, cluster, joined)}
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average", "weighted"])
+@pytest.mark.parametrize("ties", [False, True])
+def test_rounds_of_mutual_nearest_equal_one_by_one(spark, method, ties):
+    rng = random.Random(17 + ties)
+    base = [rng.sample(range(40), 10) for _ in range(3)]
+    sets = {}
+    for i in range(60):
+        s = set(base[i % 3])
+        for _ in range(rng.randint(0, 2 if ties else 5)):
+            s.discard(rng.choice(sorted(s)))
+            s.add(rng.randint(40, 44 if ties else 90))
+        if s not in sets.values():
+            sets[3 * i] = s
+    rows = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()], "id long, s array<string>")
+    got = {r["item"]: (r.cluster, round(r.distance, 9)) for r in C.hierarchical(rows, "id", "s", 0.7, method, keep_singletons=True, most=1).collect()}
+    want = clustered(sets, method, 0.7)
+    assert got == want and len({c for c, _ in got.values()}) < len(sets) / 2
+
+
+@pytest.mark.parametrize("method", ["complete", "average"])
+def test_rounds_of_a_large_component(spark, method):
+    rng = random.Random(23)
+    sets, core = {}, set(range(30))
+    while len(sets) < 280:  # a walk: neighbours are near, the ends share little
+        core = (core - {rng.choice(sorted(core))}) | {rng.randint(0, 10_000)}
+        sets[len(sets)] = set(core)
+    rows = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()], "id long, s array<string>")
+    got = {r["item"]: (r.cluster, round(r.distance, 9)) for r in C.hierarchical(rows, "id", "s", 0.5, method, keep_singletons=True).collect()}
+    assert got == clustered(sets, method, 0.5)
+
+
+def test_pairs_within_groups_in_chunks(spark):
+    rng = random.Random(3)
+    sets = {i: set(rng.sample(range(30), rng.randint(1, 8))) for i in range(80)}
+    rows = spark.createDataFrame([(i % 2, i, sorted(s)) for i, s in sets.items()], "g int, id long, s array<long>")
+    for chunk in (7, 256):
+        got = {(r.a, r.b): round(r.similarity, 9) for r in C.pairs_within(rows, "g", "id", "s", chunk).collect()}
+        want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a in sets for b in sets if a < b and (a - b) % 2 == 0 and sets[a] & sets[b]}
+        assert got == want
+
+
 def test_connected(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99)], "a long, b long")
     assert {r.id: r.root for r in C.connected(edges).collect()} == {**{i: 0 for i in range(61)}, 99: 99, 100: 99}
