@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexivec.operators import model, sequence
+from lexivec.functions import text as X
+from lexivec.operators import generation, model, sequence
 from lexivec.operators.vectors import sequences
 from lexivec.plans.registry import query, table
 
@@ -41,3 +42,43 @@ def encode_texts(spark, d):
     return rows.select(
         "conv_id", "turn", F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("places"), F.aggregate(signs, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum")
     )
+
+
+def _generation_sql(beams: int, max_length: int, min_length: int) -> str:
+    return rf"""
+WITH RECURSIVE w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM conversations),
+g AS (SELECT unnest(list_transform(range(len(w) + 1), lambda i: {{'c1': CASE WHEN i < 2 THEN '<s>' ELSE w[i - 1] END, 'c2': CASE WHEN i < 1 THEN '<s>' ELSE w[i] END,
+    'token': CASE WHEN i < len(w) THEN w[i + 1] ELSE '</s>' END}})) AS s FROM w WHERE w IS NOT NULL),
+n AS (SELECT s.c1 AS c1, s.c2 AS c2, s.token AS token, count(*) AS n FROM g GROUP BY ALL),
+m AS (SELECT c1, c2, token, round(ln(n / sum(n) OVER (PARTITION BY c1, c2)) * 1000000)::BIGINT AS logp, row_number() OVER (PARTITION BY c1, c2 ORDER BY n DESC, token) AS place FROM n),
+s AS (
+  SELECT 0 AS step, conv_id AS id, w[1] AS c1, w[2] AS c2, '' AS text, 0::BIGINT AS score, 0 AS n_tokens, false AS done, false AS ended, 0 AS rank FROM w WHERE turn = 0 AND len(w) >= 2
+  UNION ALL
+  SELECT step + 1, id, c1, c2, text, score, n_tokens, done, ended, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, text, ended DESC) AS rank FROM (
+      SELECT s.step, s.id, CASE WHEN m.token IS NULL THEN s.c1 ELSE s.c2 END AS c1, coalesce(m.token, s.c2) AS c2,
+        CASE WHEN m.token IS NULL OR m.token = '</s>' THEN s.text WHEN s.text = '' THEN m.token ELSE s.text || ' ' || m.token END AS text, s.score + coalesce(m.logp, 0) AS score,
+        s.n_tokens + (m.token IS NOT NULL AND m.token <> '</s>')::INT AS n_tokens, m.token IS NULL OR m.token = '</s>' AS done, coalesce(m.token = '</s>', false) AS ended
+      FROM s LEFT JOIN m ON m.c1 = s.c1 AND m.c2 = s.c2 AND m.place <= {beams + 1} AND (s.step >= {min_length} OR m.token <> '</s>') WHERE NOT s.done AND s.step < {max_length}
+      UNION ALL
+      SELECT s.step, s.id, s.c1, s.c2, s.text, s.score, s.n_tokens, s.done, s.ended FROM s
+      WHERE s.done AND s.step < {max_length} AND s.id IN (SELECT id FROM s WHERE NOT done)))
+  WHERE rank <= {beams})
+SELECT id, rank::INT AS rank, text, score, n_tokens, ended FROM s JOIN (SELECT id, max(step) AS step FROM s GROUP BY id) USING (id, step)"""
+
+
+def _prompts(spark, d, beams):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", X.words(F.lower("text")).alias("w"))
+    first = rows.where((F.col("turn") == 0) & (F.size("w") >= 2))
+    prompts = first.select(F.col("conv_id").alias("id"), F.get("w", F.lit(0)).alias("c1"), F.get("w", F.lit(1)).alias("c2"))
+    return prompts, generation.next_tokens(rows, "w", beams + 1)
+
+
+@query("I5", sql=_generation_sql(1, 24, 3))
+def generate_greedy(spark, d):
+    return generation.generate(*_prompts(spark, d, 1), max_length=24, min_length=3)
+
+
+@query("I5", sql=_generation_sql(4, 16, 2))
+def generate_beams(spark, d):
+    return generation.generate(*_prompts(spark, d, 4), beams=4, max_length=16, min_length=2)

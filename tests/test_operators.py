@@ -1,6 +1,7 @@
 """Operators against goldens, plain versions and invariants; plans against what they should hold."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexivec.operators import cluster as C
 from lexivec.operators import corpus, labels, metrics, model, sequence
+from lexivec.operators import generation as G
 from lexivec.operators import relational as R
 from lexivec.operators import text as O
 from lexivec.operators import vectors as VO
@@ -309,3 +311,56 @@ def test_label_conversion_edges(spark):
     with pytest.raises(ValueError, match="with_label_ids"):
         labels.label_map(ids, most=1)
     assert labels.convert(rows.where("label = 'none'"), "sequence_classification", ids.where("id < 0")).count() == 0
+
+
+def generated(texts, prompts, beams, max_length, min_length, **options):
+    """A plain version: hypotheses of every prompt in a list."""
+    counts = {}
+    for t in texts:
+        w = ["<s>", "<s>", *t, "</s>"]
+        for a, b, c in zip(w, w[1:], w[2:]):
+            counts.setdefault((a, b), {}).setdefault(c, 0)
+            counts[a, b][c] += 1
+    out = {}
+    for key, (a, b) in prompts.items():
+        held = [(0, "", False, False, a, b, 0)]
+        for step in range(max_length):
+            if all(h[2] for h in held):
+                break
+            grown = [h for h in held if h[2]]
+            for score, text, _, _, x, y, n in (h for h in held if not h[2]):
+                follow = counts.get((x, y), {})
+                best = [t for t in sorted(follow, key=lambda t: (-follow[t], t))[: beams + 1] if step >= min_length or t != "</s>"]
+                for t in best:
+                    s = score + round(math.log(follow[t] / sum(follow.values())) * 1e6)
+                    grown.append((s, text, True, True, y, t, n) if t == "</s>" else (s, f"{text} {t}".strip(), False, False, y, t, n + 1))
+                if not best:
+                    grown.append((score, text, True, False, x, y, n))
+            held = sorted(grown, key=lambda h: (-h[0], h[1], not h[3]))[:beams]
+        out[key] = [(h[1], h[0], h[6], h[3]) for h in held]
+    return out
+
+
+@pytest.mark.parametrize("beams, length, least", [(1, 9, 0), (1, 12, 4), (3, 8, 0), (4, 10, 3)])
+def test_generation_equals_plain_version(spark, beams, length, least):
+    rng = random.Random(beams + length)
+    texts = [[rng.choice("abcd") for _ in range(rng.randint(0, 7))] for _ in range(60)]
+    prompts = {0: ("<s>", "<s>"), 1: ("a", "b"), 2: ("c", "c"), 3: ("no", "where"), 4: ("<s>", "d")}
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "w array<string>")
+    model = G.next_tokens(rows, "w", beams + 1)
+    got = {}
+    asked = spark.createDataFrame([(k, *v) for k, v in prompts.items()], "id long, c1 string, c2 string")
+    for r in G.generate(asked, model, beams=beams, max_length=length, min_length=least).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.text, r.score, r.n_tokens, r.ended))
+    assert got == generated(texts, prompts, beams, length, least)
+    assert G.generate(asked.where("id < 0"), model, beams=beams, max_length=length).count() == 0
+
+
+def test_drawn_tokens_follow_the_distribution(spark):
+    rows = spark.createDataFrame([(["x"],)] * 3 + [(["y"],)] * 1 + [(["z"],)] * 1, "w array<string>")
+    asked = spark.range(4000).selectExpr("id", "'<s>' AS c1", "'<s>' AS c2")
+    draw = lambda **o: {r["text"]: r["n"] for r in G.generate(asked, G.next_tokens(rows, "w", 9), max_length=1, seed=7, **o).groupBy("text").agg(F.count("*").alias("n")).collect()}
+    free, two = draw(top_k=5), draw(top_k=2)
+    assert abs(free["x"] - 2400) < 150 and abs(free["y"] - 800) < 150 and sum(free.values()) == 4000
+    assert set(two) == {"x", "y"} and abs(two["x"] - 3000) < 150
+    assert draw(top_k=5) == free  # the same draw each time
