@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,29 +23,36 @@ def exact_topk(base: DataFrame, queries: DataFrame, k: int, *, id_column: str =
     merges them.  Vectors of norm zero take no part."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asks = queries.select(F.col(id_column).alias("query_id"), V.normalized(F.col(vector)).alias("q"), F.pmod(F.xxhash64(id_column), F.lit(blocks)).alias("block"))
-    asks = asks.where(V.norm(F.col("q")) > 0).groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("asks"))
+    asks = asks.where(V.norm(F.col("q")) > 0).groupBy("block").agg(*_columns("query_id", "q"))
     rows = base.select(F.col(id_column).alias("id"), V.normalized(F.col(vector)).alias("v")).where(V.norm(F.col("v")) > 0)
-    width = F.lit(QUERY_BLOCK)
-    packed = rows.withColumn("chunk", F.floor(F.monotonically_increasing_id() / width)).groupBy("chunk").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    met = packed.crossJoin(F.broadcast(asks)) if blocks == 1 else packed.crossJoin(asks)
+    chunk = F.floor(F.monotonically_increasing_id() / F.lit(QUERY_BLOCK))
+    packed = rows.withColumn("chunk", chunk).groupBy("chunk").agg(*_columns("id", "v"))
+    met = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asks, "block")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows_, asks_ in zip(batch["rows"], batch["asks"], strict=True):
-                ids = np.array([r["id"] for r in rows_])
-                names = np.array([a["query_id"] for a in asks_])
-                s = np.stack([a["q"] for a in asks_]) @ np.stack([r["v"] for r in rows_]).T
+            for i in range(batch.num_rows):
+                ids, v, names, q = (batch.column(c)[i].values for c in ("id_all", "v_all", "query_id_all", "q_all"))
+                ids, names = ids.to_numpy(zero_copy_only=False), names.to_numpy(zero_copy_only=False)
+                s = q.to_numpy(zero_copy_only=False).reshape(len(names), -1) @ v.to_numpy(zero_copy_only=False).reshape(len(ids), -1).T
                 s[names[:, None] == ids[None]] = -np.inf
                 s = np.round(s, 12)
                 order = np.lexsort([np.broadcast_to(ids, s.shape), -s])[:, :k]
-                out = pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "vec_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-                yield out[out["score"] > -np.inf]
+                query, near, best = np.repeat(names, order.shape[1]), ids[order].ravel(), np.take_along_axis(s, order, 1).ravel()
+                real = best > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(x[real]) for x in (query, near, best)], ["query_id", "vec_id", "score"])
 
-    found = met.select("rows", "asks").mapInPandas(score, "query_id long, vec_id long, score double")
+    found = met.select("id_all", "v_all", "query_id_all", "q_all").mapInArrow(score, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k).drop("_r")
 
 
+def _columns(name: str, vector: str) -> list[Column]:
+    """The ids and the flat numbers of a block's vectors, both in the order of ids, as plain arrays that Arrow hands to numpy as they are."""
+    block = F.sort_array(F.collect_list(F.struct(name, vector)))
+    return [F.transform(block, lambda x: x[name]).alias(f"{name}_all"), F.flatten(F.transform(block, lambda x: x[vector])).alias(f"{vector}_all")]
+
+
 def id_map(rows: DataFrame, id_column: str, order: Sequence[str], duplicates: str = "first") -> DataFrame:
     """``id``, ``vid``.  ``first``: an id gets the next number where it first appears.  ``last``: all rows are
     numbered, and an id has its last row's number."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexivec.functions import vectors as V
+from lexivec.operators import index, reading
 from lexivec.operators import vectors as O
 from lexivec.plans.registry import query, table
+from lexivec.sources.storage import fresh_path
 
 WIDTH = 64
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
@@ -205,3 +207,53 @@ def label_smoothing(spark, d):
     rows = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 10).alias("z")).where("label <> 0")
     loss = label_smoothing_loss(F.col("z"), F.col("label"), classes=10, smoothing=0.1, padding=0)
     return rows.select("label", loss.alias("kl")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("kl"), 6).alias("loss"))
+
+
+_HEADS = [[((i * a) % m - m // 2) / 10 for i in range(WIDTH)] for a, m in ((3, 7), (5, 11), (7, 13))]
+_LOGIT = "round(list_sum(list_transform(list_zip(v, {0}::DOUBLE[]), lambda z: z[1] * z[2])), 6)"
+
+
+@query("V21", sql=f"""
+WITH RECURSIVE {_E}, t AS (SELECT vec_id // 40 AS passage, vec_id % 40 AS i, {", ".join(f"{_LOGIT.format(w)} AS {n}" for w, n in zip(_HEADS, ("s", "e", "r")))} FROM e),
+p AS (SELECT passage, passage // 4 AS query, r AS relevance FROM t WHERE i = 0),
+x AS (SELECT a.passage, a.i, b.i AS j, round(a.s + b.e, 6) AS score FROM t a JOIN t b ON a.passage = b.passage AND b.i BETWEEN a.i AND a.i + 7),
+k AS (
+  SELECT 1 AS n, passage, i, j, score, [{{'i': i, 'j': j}}] AS taken FROM (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY score DESC, i, j) AS o FROM x) WHERE o = 1
+  UNION ALL
+  SELECT n + 1, passage, i, j, score, list_append(taken, {{'i': i, 'j': j}}) FROM (
+    SELECT k.n, x.passage, x.i, x.j, x.score, k.taken, row_number() OVER (PARTITION BY x.passage ORDER BY x.score DESC, x.i, x.j) AS o
+    FROM k JOIN x ON x.passage = k.passage WHERE k.n < 3 AND len(list_filter(k.taken, lambda y: y.i <= x.j AND x.i <= y.j)) = 0) WHERE o = 1)
+SELECT query, rank, passage, i AS "start", j AS "end", score FROM (
+  SELECT query, passage, i, j, score, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, passage, n)::INT AS rank FROM k JOIN p USING (passage)) WHERE rank <= 5""")
+def read_spans(spark, d):
+    rows = O.sequences(table(spark, d, "embeddings"), 40).withColumn("states", F.transform("steps", lambda s: s["v"]))
+    start, end, relevance = _HEADS
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    rows = rows.select(
+        F.col("seq").alias("passage"), F.floor(F.col("seq") / 4).alias("query"), F.round(reading.head(F.get("states", F.lit(0)), relevance), 6).alias("relevance"),
+        reading.best_spans(rounded(reading.head_logits(F.col("states"), start)), rounded(reading.head_logits(F.col("states"), end)), width=8, most=3).alias("spans"),
+    )
+    return reading.answers(rows, query="query", passage="passage", relevance="relevance", spans="spans", most=5).withColumn("score", F.round("score", 6))
+
+
+_PROJECTION = [[((i * 2 + j * 3) % 9 - 4) / 8 for i in range(WIDTH)] for j in range(6)]
+
+
+@query("V21", "V7", sql=f"""
+WITH {_E}, c AS (SELECT vec_id // 16 AS seq, v FROM e WHERE vec_id % 16 = 0)
+SELECT seq, j, x FROM (SELECT seq, unnest(range(6))::INT AS j, unnest([{", ".join(_LOGIT.format(w) for w in _PROJECTION)}]) AS x FROM c)""")
+def project_cls(spark, d):
+    rows = O.sequences(table(spark, d, "embeddings"), 16)
+    first = rows.select("seq", reading.projected(F.get("steps", F.lit(0))["v"], _PROJECTION).alias("p"))
+    return first.select("seq", F.posexplode("p").alias("j", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("T1", "V3", sql=f"""
+WITH {_UNIT}, m AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS vid FROM u),
+s AS (SELECT q.vec_id AS query_id, b.vec_id, round(list_dot_product(q.v, b.v), 6) AS score FROM u q JOIN u b ON q.vec_id % 25 = 0 AND q.vec_id <> b.vec_id)
+SELECT query_id, vec_id, vid, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) JOIN m USING (vec_id) WHERE r <= 5""")
+def index_topk(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    made = index.build(rows, fresh_path(spark, "index"))
+    found, _ = index.search(made, rows.where("vec_id % 25 = 0"), 5)
+    return found.withColumn("score", F.round("score", 6))
