@@ -18,30 +18,53 @@ operator's own names begin with ``_``.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexivec.llm.bpe import pieces
 from lexivec.llm.common import checkpointed, likely_in, spread, written
 from lexivec.llm.simhash import components
 
-SPACES = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
 
 
 def line_table(docs: DataFrame, text: str, depth: int) -> DataFrame:
     """``_row``, ``pos``, ``n`` tokens, ``leaf``, ``h`` of the masked line and ``tok``, the hashes of its tokens."""
-    lines = docs.select("_row", F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
-    words = F.filter(F.split("line", SPACES), lambda w: w != "")
-    lines = lines.select("_row", "pos", words.alias("w")).where(F.size("w") > 0)
-    tok = F.transform("w", lambda w: F.hash(F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w)))
-    lines = lines.select("_row", "pos", tok.alias("tok"))
-    leaf = F.xxhash64(F.size("tok"), *[F.coalesce(F.get("tok", F.lit(i)), F.lit(0)) for i in range(depth)])
-    return lines.select("_row", "pos", F.size("tok").alias("n"), leaf.alias("leaf"), F.xxhash64("tok").alias("h"), "tok")
+    frame = docs.select("_row", F.col(f"`{text}`"))
+    names = ["_row", "pos", "n", "leaf", "h", "tok"]
+    field = zlib.crc32(FIELD.encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digit = re.compile(rb"[0-9]").search
+        for whole in batches:
+            for batch in pieces(whole, 200):
+                row, pos, n, leaf, h, tokens = [], [], [], [], [], []
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    for k, line in enumerate((t or "").encode().split(b"\n")):
+                        words = line.split()  # space and \t to \r, as everywhere
+                        if not words:
+                            continue
+                        ids = [field if digit(w) else zlib.crc32(w) for w in words] if digit(line) else list(map(zlib.crc32, words))
+                        tokens += ids
+                        row.append(i)
+                        pos.append(k)
+                        n.append(len(ids))
+                        flat = np.array([len(ids), *ids], "<u4").tobytes()
+                        leaf.append(xxhash.xxh3_64_intdigest(flat[: 4 * depth + 4]))
+                        h.append(xxhash.xxh3_64_intdigest(flat))
+                column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.array(tokens, np.uint32).view(np.int32)))
+                hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (leaf, h)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), *hashes, column], names)
+
+    return frame.mapInArrow(run, "_row struct<a: long, b: long>, pos int, n int, leaf long, h long, tok array<int>")
 
 
 def similar_rows(tokens: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
