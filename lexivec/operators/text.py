@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions import text as X
+from lexivec.operators.intervals import ranges_of
 from lexivec.operators.relational import dense_ids
 
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>")
 
 
+def script_ranges(spark: SparkSession) -> DataFrame:
+    """``low``, ``high``, ``script``: the runs of code points of each script among ``SCRIPTS``, worked out from the classes that the JVM knows."""
+    points = spark.range(0, 0x110000).where("id < 55296 OR id > 57343")  # all but surrogates
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), F.lit("UTF-32"))
+    named = points.select("id", X.script(char).alias("s"))
+    return ranges_of(named.where("s <> 'Unknown'"), "id", F.col("s")).withColumnRenamed("name", "script")
+
+
 def character_classes(df: DataFrame, text: str) -> DataFrame:
     """``script``, ``category`` and ``n``: characters are counted first, and each different one is classified once."""
     chars = df.select(F.explode(F.split(F.col(text), "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))

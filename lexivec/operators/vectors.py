@@ -116,3 +116,19 @@ def contrastive(rows: DataFrame, batch: str, query: str, context: str, q: str, c
     by = Window.partitionBy(batch, query)
     top = F.max("s").over(by)
     return scored.withColumn("logp", F.col("s") - top - F.log(F.sum(F.exp(F.col("s") - top)).over(by)))
+
+
+def hard_pairs(rows: DataFrame, batch: str, item: str, label: str, unit: str, epsilon: float = 0.1) -> DataFrame:
+    """``batch``, ``anchor``, ``other``, ``same``: the pairs worth learning from.
+
+    A positive pair counts if it is less similar than the anchor's hardest negative plus ``epsilon``, a negative one if it is more similar than the
+    hardest positive minus ``epsilon``: two extremes an anchor take the place of all its triples.  Anchors without positives or without negatives
+    have none, nor have rows with a null label.  A batch is bounded by its definition."""
+    side = lambda s: rows.where(F.col(label).isNotNull()).select(F.col(batch).alias("batch"), *[F.col(c).alias(n + s) for c, n in ((item, "item"), (label, "label"), (unit, "v"))])
+    pairs = side("").join(side("_o"), "batch").where("item <> item_o")
+    pairs = pairs.select("batch", F.col("item").alias("anchor"), F.col("item_o").alias("other"), (F.col("label") == F.col("label_o")).alias("same"), F.round(V.dot(F.col("v"), F.col("v_o")), 9).alias("s"))
+    by = Window.partitionBy("batch", "anchor")
+    nearest_other = F.max(F.when(~F.col("same"), F.col("s"))).over(by)
+    farthest_same = F.min(F.when(F.col("same"), F.col("s"))).over(by)
+    hard = F.when(F.col("same"), F.col("s") - epsilon < nearest_other).otherwise(F.col("s") + epsilon > farthest_same)
+    return pairs.withColumn("hard", hard).where("hard").select("batch", "anchor", "other", "same")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexivec.functions import text as X
+from lexivec.operators import intervals as I
 from lexivec.operators import text as O
 from lexivec.plans.registry import query, table
 
@@ -86,6 +87,15 @@ def script_histogram(spark, d):
     return O.character_classes(table(spark, d, "documents"), "text")
 
 
+@query("J9", "F9", sql=f"""
+SELECT script, sum(n)::BIGINT AS n FROM (
+  SELECT n, {_case(X.SCRIPTS, '^' + chr(92) + 'p{{{0}}}', 'Unknown')} AS script
+  FROM (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch)) GROUP BY ALL""")
+def script_lookup(spark, d):
+    chars = table(spark, d, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy(F.ascii("ch").alias("point")).agg(F.count("*").alias("n"))
+    return I.lookup(chars, "point", O.script_ranges(spark), "low", "high", "script").groupBy(F.coalesce("script", F.lit("Unknown")).alias("script")).agg(F.sum("n").alias("n"))
+
+
 @query("V14", "A12", sql=f"""
 WITH t AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS t FROM documents),
 b AS (SELECT doc_id, list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1]) AS b FROM t)

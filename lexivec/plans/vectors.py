@@ -257,3 +257,14 @@ def index_topk(spark, d):
     made = index.build(rows, fresh_path(spark, "index"))
     found, _ = index.search(made, rows.where("vec_id % 25 = 0"), 5)
     return found.withColumn("score", F.round("score", 6))
+
+
+@query("V23", sql=f"""
+WITH {_UNIT}, g AS (SELECT vec_id // 16 AS g, * FROM u),
+p AS (SELECT a.g AS batch, a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, round(list_dot_product(a.v, b.v), 9) AS s FROM g a JOIN g b ON a.g = b.g AND a.vec_id <> b.vec_id WHERE a.label IS NOT NULL AND b.label IS NOT NULL),
+x AS (SELECT *, max(s) FILTER (WHERE NOT same) OVER w AS n, min(s) FILTER (WHERE same) OVER w AS f FROM p WINDOW w AS (PARTITION BY batch, anchor))
+SELECT batch, anchor, other, same FROM x WHERE CASE WHEN same THEN s - 0.1 < n ELSE s + 0.1 > f END""")
+def mined_pairs(spark, d):
+    rows = table(spark, d, "embeddings").where(V.norm(F.col("embedding")) > 0)
+    rows = rows.select(F.floor(F.col("vec_id") / 16).alias("g"), "vec_id", "label", V.normalized(F.col("embedding")).alias("v"))
+    return O.hard_pairs(rows, "g", "vec_id", "label", "v", 0.1)

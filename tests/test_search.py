@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexivec.operators import index, reading
+from lexivec.operators import index, intervals, reading, vectors
 
 
 def table(spark, x, ids=None):
@@ -100,3 +100,48 @@ def test_spans_and_answers_of_odd_rows(spark):
     out = reading.answers(df, query="q", passage="p", relevance="r", spans="spans", most=2)
     got = sorted((r["query"], r["rank"], r["passage"], r["start"], r["end"], r["score"]) for r in out.collect())
     assert got == [(0, 1, 0, 0, 1, 2.0), (0, 2, 3, 0, 1, 8.0), (1, 1, 4, 0, 0, 0.0)]
+
+
+def test_interval_lookup_equals_comparing_all(spark):
+    rng = random.Random(4)
+    ends = sorted(rng.sample(range(5000), 120))
+    spans = [(a, b - 1, f"n{a}") for a, b in zip(ends[::2], ends[1::2], strict=True)] + [(6000, 1_000_000, "long"), (2_000_000, 2_000_000, "one"), (9, 3, "never"), (None, 4, "null")]
+    spans = [s for s in spans if s[0] is None or s[0] != 0]
+    values = [*range(-3, 6010), 999_999, 1_000_000, 1_000_001, 2_000_000, 1 << 40, None, 7, 7]
+    rows = spark.createDataFrame([(v, "clash") for v in values], "v long, low string")
+    got = intervals.lookup(rows, "v", spark.createDataFrame(spans, "low long, high long, name string"), "low", "high", "name")
+    assert got.columns == ["v", "low", "name"]
+    want = [(v, next((n for a, b, n in spans if v is not None and a is not None and a <= v <= b), None)) for v in values]
+    assert sorted(((r.v, r["name"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    none = spark.createDataFrame([], "low long, high long, name string")
+    assert intervals.lookup(rows, "v", none, "low", "high", "name").where("name IS NOT NULL").count() == 0
+
+
+def test_blocks_are_few_and_cover_the_interval(spark):
+    spans = [(0, 0), (0, 7), (3, 12), (5, 1_000_000_000), (1023, 1024), (1 << 40, (1 << 41) + 5)]
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(spans)], "low long, high long, i int")
+    found = {}
+    for r in intervals.blocks(df, "low", "high").collect():
+        found.setdefault(r.i, []).append((r._block << r._level, ((r._block + 1) << r._level) - 1))
+    for i, (a, b) in enumerate(spans):
+        own = sorted(found[i])
+        assert own[0][0] == a and own[-1][1] == b and all(x[1] + 1 == y[0] for x, y in zip(own, own[1:]))
+        assert len(own) <= 2 * max(1, (b - a + 1).bit_length())
+
+
+def test_hard_pairs_equal_the_triples_that_violate(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(24, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = [int(i % 3) for i in range(22)] + [None, 9]
+    rows = spark.createDataFrame([(0, i, label[i], x[i].tolist()) for i in range(24)], "b int, i long, l int, v array<double>")
+    got = {(r.anchor, r.other, r.same) for r in vectors.hard_pairs(rows, "b", "i", "l", "v", 0.1).collect()}
+    s = np.round(x @ x.T, 9)
+    known = [i for i in range(24) if label[i] is not None]
+    want = set()
+    for a in known:
+        for p in known:
+            for n in known:
+                if p != a and label[p] == label[a] and label[n] != label[a] and s[a, p] - 0.1 < s[a, n]:
+                    want |= {(a, p, True), (a, n, False)}
+    assert got == want
