@@ -79,7 +79,7 @@ def packed_examples(docs: DataFrame, doc: str, sentences: str, max_length: int,
         for batch in batches:
             out = []
             for name, texts in zip(batch[doc], batch[sentences], strict=True):
-                sizes = [len(t.split()) for t in texts]
+                sizes = [len((t or "").encode().split()) for t in texts]  # of words parted by space and \t to \r
                 k = n = tokens = 0
                 for i, size in enumerate(sizes):
                     if n == 0:

@@ -84,16 +84,29 @@ def train_test_split(spark, d):
     return _plan(spark, d).groupBy("split").agg(F.count("*").alias("docs"), F.sum("sentences").alias("sentences"))
 
 
-@query("B6", "K10")
+_SENT = """x AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS s FROM documents),
+s AS (SELECT doc_id, unnest(s) AS t, unnest(range(len(s))) AS pos FROM x)"""
+
+
+_TARGET = "CASE WHEN " + _HEX.format("doc_id, {0}") + " % 1000 < 100 THEN 2 + " + _HEX.format("doc_id, {0}") + " % 124 ELSE 125 END"
+
+
+@query("B6", "K10", sql=rf"""
+WITH RECURSIVE {_SENT},
+z AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id) AS m,
+  len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size FROM s),
+v AS (
+  SELECT doc_id, i, m, 0 AS k, 1 AS n, size AS tokens, {_TARGET.format("0")} AS target FROM z WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, m, k, n, tokens, {_TARGET.format("k")} FROM (
+    SELECT z.doc_id, z.i, z.m, v.k + (v.tokens >= v.target)::INT AS k, CASE WHEN v.tokens >= v.target THEN 1 ELSE v.n + 1 END AS n, CASE WHEN v.tokens >= v.target THEN z.size ELSE v.tokens + z.size END AS tokens
+    FROM v JOIN z ON z.doc_id = v.doc_id AND z.i = v.i + 1))
+SELECT doc_id, k::BIGINT AS example, n::BIGINT AS n_sentences, least(tokens, 125)::BIGINT AS n_tokens, target::BIGINT AS target FROM v WHERE tokens >= target OR i = m""")
 def pack_chunks(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("s"))
     return C.packed_examples(rows, "doc_id", "s", 128)
 
 
-_SENT = """x AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS s FROM documents),
-s AS (SELECT doc_id, unnest(s) AS t, unnest(range(len(s))) AS pos FROM x)"""
-
-
 @query("B7", sql=f"""
 WITH {_SENT}, h AS (SELECT doc_id, arg_min(t, pos) AS head, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM s GROUP BY doc_id), c AS (SELECT count(*) AS c FROM h),
 n AS (SELECT doc_id, pos, t, lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM s),

@@ -23,12 +23,26 @@ def topk_topp_filter(spark, d):
     return out.withColumn("logit", F.round("logit", 6))
 
 
-@query("W7", "I9")
+_STEPS = [[((i * 3 + j * 5) % 7 - 3) / 20 for j in range(5)] for i in range(5)]
+_INTO = f"list_transform(range(5), lambda i: {{0}}[i + 1] + ({_STEPS}::DOUBLE[][])[i + 1][j + 1])"
+
+
+@query("W7", "I9", sql=f"""
+WITH RECURSIVE e AS (SELECT vec_id // 8 AS seq, row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) AS k, embedding[1:5]::DOUBLE[] AS e FROM embeddings),
+v AS (
+  SELECT seq, k, e AS s, [[0], [1], [2], [3], [4]]::BIGINT[][] AS p, e AS z FROM e WHERE k = 1
+  UNION ALL
+  SELECT v.seq, e.k, list_transform(range(5), lambda j: list_max({_INTO.format("v.s")}) + e.e[j + 1]),
+    list_transform(range(5), lambda j: list_append(v.p[list_position({_INTO.format("v.s")}, list_max({_INTO.format("v.s")}))], j)),
+    list_transform(range(5), lambda j: ln(list_sum(list_transform({_INTO.format("v.z")}, lambda x: exp(x)))) + e.e[j + 1])
+  FROM v JOIN e ON e.seq = v.seq AND e.k = v.k + 1)
+SELECT seq, array_to_string(p[list_position(s, list_max(s))], ',') AS path, round(list_max(s), 9) AS score, round(ln(list_sum(list_transform(z, lambda x: exp(x)))), 9) AS log_z
+FROM v JOIN (SELECT seq, max(k) AS k FROM e GROUP BY seq) USING (seq, k)""")
 def viterbi(spark, d):
     steps = sequences(table(spark, d, "embeddings"), 8)
     rows = steps.select("seq", F.transform("steps", lambda s: F.slice(s["v"], 1, 5)).alias("emissions"))
-    transitions = np.array([[((i * 3 + j * 5) % 7 - 3) / 20 for j in range(5)] for i in range(5)])
-    return sequence.decode(rows, "seq", "emissions", transitions)
+    best = sequence.decode(rows, "seq", "emissions", np.array(_STEPS))
+    return best.select("seq", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), F.round("score", 9).alias("score"), F.round("log_z", 9).alias("log_z"))
 
 
 @query("I1", "I2", "I4", "K2", "K3", sql=r"""

@@ -131,8 +131,7 @@ def clustered(sets, method, threshold):
     return {i: (ids[c], 0.0 if np.isnan(j) else round(j, 9)) for i, c, j in zip(ids, cluster, joined)}
 
 
-@pytest.mark.parametrize("method", ["single", "complete", "average", "weighted"])
-@pytest.mark.parametrize("ties", [False, True])
+@pytest.mark.parametrize("method, ties", [("single", False), ("complete", True), ("average", False), ("average", True), ("weighted", True)])
 def test_rounds_of_mutual_nearest_equal_one_by_one(spark, method, ties):
     rng = random.Random(17 + ties)
     base = [rng.sample(range(40), 10) for _ in range(3)]
