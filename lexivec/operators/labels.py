@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivec.functions import text as X
 from lexivec.functions import vectors as V
 from lexivec.operators.metrics import IGNORED
 from lexivec.operators.relational import require_columns
@@ -70,6 +71,15 @@ def cloze_batches(pairs: DataFrame, order: Column, size: int) -> DataFrame:
     return dense_ids(pairs, [order], "_n").withColumn("batch", F.floor(F.col("_n") / size)).withColumn("positive", F.col("_n") % size).drop("_n")
 
 
+def span_offset_rows(rows: DataFrame, keys: Sequence[str], text: str, span: str, names: Sequence[str], max_length: int) -> DataFrame:
+    """``keys``, ``tokens`` (marked, cut and padded to ``max_length``), and the two parts of ``span`` under ``names``, as they
+    were given: no position is moved where tokens are cut.  Null texts have no tokens, null spans null ends."""
+    words = F.slice(F.coalesce(X.words(F.col(text)), F.array().cast("array<string>")), 1, max_length - 2)
+    tokens = F.concat(F.array(F.lit("[CLS]")), words, F.array(F.lit("[SEP]")))
+    padded = F.concat(tokens, F.array_repeat(F.lit("[PAD]"), F.lit(max_length) - F.size(tokens)))
+    return rows.select(*keys, padded.alias("tokens"), F.get(span, F.lit(0)).alias(names[0]), F.get(span, F.lit(1)).alias(names[1]))
+
+
 def label_map(ids: DataFrame, most: int = 2_000) -> Column:
     """Label to id as a literal map.  A label set holds one row per class; one with over ``most`` raises."""
     rows = ids.select("label", F.col("id").cast("long")).take(most + 1)

@@ -88,3 +88,14 @@ def classified_tokens(rows: DataFrame, keys: list[str], tokens: str, starts: str
     names = F.array(*[F.lit(x) for x in labels])
     flat = rows.select(*keys, F.posexplode(zipped).alias("pos", "x")).where("x.o = 0")
     return flat.select(*keys, "pos", F.col("x.t").alias("token"), F.get(names, V.argmax(F.col("x.z")).cast("int")).alias("label"))
+
+
+# Prefixes of class names, and the attribute under which such a model keeps its encoder.
+FAMILIES = {"Bert": "bert", "Roberta": "roberta", "Albert": "albert", "Bart": "model", "Electra": "electra", "GPT2": "transformer"}
+
+
+def family_attribute(class_name: Column, strict: bool = True) -> Column:
+    """The attribute of the first family whose prefix the class name has; another name raises, or is null if not ``strict``; no name has none."""
+    found = F.coalesce(*[F.when(F.startswith(class_name, F.lit(p)), F.lit(a)) for p, a in FAMILIES.items()])
+    unknown = F.raise_error(F.concat(F.lit("no model family for "), class_name)).cast("string")
+    return F.when(class_name.isNotNull(), F.coalesce(found, unknown)) if strict else found

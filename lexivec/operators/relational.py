@@ -52,11 +52,31 @@ def hash_sample(df: DataFrame, key: Column, share: float, seed: int = 42) -> Dat
     return df.where(F.substring(stable_hash(key, seed=seed), 1, 8) < f"{int(share * 2**32):08x}")
 
 
-def reservoir(df: DataFrame, key: Column, k: int, seed: int = 42) -> DataFrame:
-    """A uniform sample of k rows: those with the smallest hashes."""
+def reservoir(df: DataFrame, key: Column, k: int, seed: int = 42, whole: bool = False) -> DataFrame:
+    """A uniform sample of k rows: those with the smallest hashes.  With ``whole``, fewer than k rows raise."""
+    if whole:
+        _enough(df, k)
     return df.withColumn("_h", stable_hash(key, seed=seed)).orderBy("_h").limit(k).drop("_h")
 
 
+def _enough(df: DataFrame, k: int) -> None:
+    if df.limit(k).count() < k:
+        raise ValueError(f"fewer than {k} rows")
+
+
+def replacing_sample(df: DataFrame, order: Sequence[Column | str], key: Column, k: int, seed: int = 42) -> DataFrame:
+    """``slot`` (0 to k - 1) and the row that holds it at the end: the first k rows fill the slots in a hashed order, and
+    each later row n takes slot ``hash % (n + 1)`` if that is one.  Who took a slot last is a maximum by slot, so no
+    row waits for another.  Fewer than k rows raise."""
+    _enough(df, k)
+    row = F.struct(*df.columns)
+    drawn = F.conv(F.substring(stable_hash(key, seed=seed), 1, 8), 16, 10).cast("long")
+    rows = dense_ids(df.withColumn("_drawn", drawn), order, "_n").withColumn("_row", row)
+    first = rows.where(F.col("_n") < k).withColumn("slot", F.row_number().over(Window.orderBy("_drawn", "_n")).cast("long") - 1)  # k rows
+    later = rows.where(F.col("_n") >= k).withColumn("slot", F.col("_drawn") % (F.col("_n") + 1)).where(F.col("slot") < k)
+    return first.unionByName(later).groupBy("slot").agg(F.max_by("_row", "_n").alias("_row")).select("slot", "_row.*")
+
+
 def dense_ids(df: DataFrame, order: Sequence[Column | str], name: str = "id", first: int = 0) -> DataFrame:
     """Consecutive numbers in an order, without bringing all rows into one task: rows are dealt into ranges,
     counted by range, and numbered within it from the sum of the ranges before."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexivec.plans import clusters, corpus, files, labels, metrics, relational, scoring, sequences, texts, vectors  # noqa: F401
+from lexivec.plans import clusters, corpus, files, labels, metrics, pretraining, relational, scoring, sequences, texts, vectors  # noqa: F401
 from lexivec.plans.registry import QUERIES
 
 

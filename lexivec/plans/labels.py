@@ -125,6 +125,21 @@ def span_positions(spark, d):
     return rows.select("conv_id", "turn", F.instr("text", " ").cast("long").alias("start_position"), (F.length("text") - F.instr(F.reverse("text"), " ") + 1).cast("long").alias("end_position"))
 
 
+@query("C3", sql=f"""
+WITH w AS (SELECT conv_id, turn, text, coalesce({_WORDS.format('text')}, []) AS t FROM conversations),
+b AS (SELECT *, list_filter(t, lambda x: length(x) = list_max(list_transform(t, lambda y: length(y))))[1] AS longest, t[1:30] AS c FROM w)
+SELECT conv_id, turn, array_to_string(['[CLS]'] || c || ['[SEP]'] || list_transform(range(30 - len(c)), lambda i: '[PAD]'), ' ') AS tokens,
+  (instr(text, longest) - 1)::INTEGER AS start_position, (instr(text, longest) - 1 + length(longest))::INTEGER AS end_position FROM b""")
+def span_offset_rows(spark, d):
+    """The span of each text's longest word (the first of them), in characters."""
+    rows = table(spark, d, "conversations").withColumn("w", X.words(F.col("text")))
+    longest = F.array_max(F.transform("w", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
+    rows = rows.withColumn("longest", longest).withColumn("at", F.call_function("instr", F.col("text"), F.col("longest")) - 1)
+    rows = rows.withColumn("span", F.when(F.col("at").isNotNull(), F.array(F.col("at"), F.col("at") + F.length("longest"))))
+    out = L.span_offset_rows(rows, ["conv_id", "turn"], "text", "span", ["start_position", "end_position"], 32)
+    return out.withColumn("tokens", F.array_join("tokens", " "))
+
+
 @query("C8", "F18", sql=f"""
 SELECT conv_id, turn, len(t) + 2 AS width, list_transform(range(len(t) + 2), lambda i: 0)::INTEGER[] AS token_type_ids,
   list_transform(range(len(t) + 2), lambda i: CASE WHEN i = 0 OR i = len(t) + 1 THEN 0 ELSE 1 END)::INTEGER[] AS token_mask FROM (SELECT conv_id, turn, {_WORDS.format('text')} AS t FROM conversations)""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import vectors as V
 from lexivec.operators import metrics as M
+from lexivec.operators.relational import dense_ids
 from lexivec.plans.registry import query, table
 
 _L = "l AS (SELECT doc_id, quality AS r, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS p FROM labels)"
@@ -78,9 +79,10 @@ def task_aggregate(spark, d):
 
 
 @query("F23", sql="""
-SELECT s AS step, round(0.01 / (1 + 0.05 * (s - 1)), 12) AS decayed, round(CASE WHEN s < 100 THEN s * 1e-5 ELSE 1e-3 * pow(s / 100, -0.98) END, 12) AS warmed FROM range(1, 1001) t(s)""")
+SELECT s AS step, round(0.01 / (1 + 0.05 * (s - 1)), 12) AS decayed, round(CASE WHEN s < 100 THEN s * 1e-5 ELSE 1e-3 * pow(s / 100, -0.98) END, 12) AS warmed FROM (SELECT row_number() OVER (ORDER BY ts, event_id) AS s FROM events)""")
 def learning_rates(spark, d):
-    steps = spark.range(1, 1001).withColumnRenamed("id", "step")
+    """The rate at each event, where every event is a step of training."""
+    steps = dense_ids(table(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], "step", first=1)
     return steps.select("step", F.round(V.decayed_rate(0.01, 0.05, F.col("step")), 12).alias("decayed"), F.round(V.warmup_rate(1e-5, 100, F.col("step")), 12).alias("warmed"))
 
 

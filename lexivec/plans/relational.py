@@ -53,6 +53,14 @@ def reservoir_hash_topk(spark, d):
     return R.reservoir(table(spark, d, "events").select("event_id"), F.col("event_id"), 100)
 
 
+@query("P8", sql="""
+WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS n, ('0x' || substr(md5(concat_ws('|', event_id, '42')), 1, 8))::BIGINT AS h FROM events),
+s AS (SELECT *, CASE WHEN n < 100 THEN row_number() OVER (PARTITION BY n < 100 ORDER BY h, n) - 1 ELSE h % (n + 1) END AS slot FROM n)
+SELECT slot::BIGINT AS slot, arg_max(event_id, n) AS event_id FROM s WHERE slot < 100 GROUP BY slot""")
+def reservoir_replace(spark, d):
+    return R.replacing_sample(table(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], F.col("event_id"), 100).select("slot", "event_id")
+
+
 @query("P9", "W9", sql="SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 256 AS batch_id FROM events")
 def batch_ids(spark, d):
     return R.batch_ids(table(spark, d, "events").select("event_id"), ["event_id"], 256)

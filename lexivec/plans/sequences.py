@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexivec.functions import text as X
-from lexivec.operators import generation, model, sequence
+from lexivec.operators import crf, generation, model, sequence
 from lexivec.operators.vectors import sequences
 from lexivec.plans.registry import query, table
 
@@ -96,3 +96,54 @@ def generate_greedy(spark, d):
 @query("I5", sql=_generation_sql(4, 16, 2))
 def generate_beams(spark, d):
     return generation.generate(*_prompts(spark, d, 4), beams=4, max_length=16, min_length=2)
+
+
+@query("I9", "W7")
+def crf_tags(spark, d):
+    """Roles of the turns of each conversation (in parts of 512 turns): by the length of the turn alone, and by a chain over
+    them that is trained on conversations which aren't held out."""
+    rows = table(spark, d, "conversations").withColumn("held_out", F.crc32(F.col("conv_id").cast("string")) % 5 == 0)
+    rows = rows.withColumn("part", F.floor(F.col("turn") / 512)).withColumn("size", F.log1p(F.length(F.coalesce("text", F.lit("")))))
+    known = rows.where("NOT held_out AND role IS NOT NULL").groupBy("role").agg(F.avg("size").alias("mean"), F.coalesce(F.stddev_pop("size"), F.lit(0.0)).alias("sd")).orderBy("role").take(257)
+    if len(known) > 256:
+        raise ValueError("over 256 labels")
+    if not known:
+        return rows.select("conv_id", "part", "held_out", *[F.lit("").alias(c) for c in ("roles", "alone", "chained")]).limit(0)
+    names = F.array(*[F.lit(r["role"]) for r in known])
+    spread = [max(r["sd"], 0.1) for r in known]
+    scores = F.array(*[-F.pow((F.col("size") - r["mean"]) / s, 2) / 2 - float(np.log(s)) for r, s in zip(known, spread, strict=True)])
+    place = F.array_position(names, F.col("role")) - 1
+    turns = rows.select("conv_id", "part", "held_out", F.struct("turn", scores.alias("e"), F.when(place >= 0, place).cast("int").alias("g")).alias("t"))
+    key = F.struct("conv_id", "part").cast("string").alias("seq")
+    each = turns.groupBy("conv_id", "part", "held_out").agg(F.sort_array(F.collect_list("t")).alias("t")).select("conv_id", "part", "held_out", key, F.col("t.e").alias("e"), F.col("t.g").alias("g"))
+    chain = crf.fit(each.where("NOT held_out"), "e", "g", len(known))
+    best = sequence.decode(each.select("seq", chain.started(F.col("e")).alias("e")), "seq", "e", chain.transitions)
+    named = lambda places: F.array_join(F.transform(places, lambda p: F.get(names, p)), ",", "")
+    alone = F.transform("e", lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int"))
+    return each.join(best.select("seq", "path"), "seq").select("conv_id", "part", "held_out", named(F.col("g")).alias("roles"), named(alone).alias("alone"), named(F.col("path")).alias("chained"))
+
+
+_SCORES = "list_transform(range(3), lambda k: ('0x' || substr(md5(t), k + 1, 1))::BIGINT)"
+
+
+@query("I3", "I1", sql=rf"""
+WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM conversations),
+p AS (SELECT conv_id, turn, unnest(w) AS w, unnest(range(len(w))) AS i FROM w),
+o AS (SELECT conv_id, turn, w[1:4] AS t, sum((length(w) + 3) // 4) OVER (PARTITION BY conv_id, turn ORDER BY i) - (length(w) + 3) // 4 AS pos FROM p)
+SELECT conv_id, turn, pos::INTEGER AS pos, t AS token, ['person', 'place', 'none'][list_position({_SCORES}, list_max({_SCORES}))] AS label FROM o""")
+def token_words(spark, d):
+    """Words of the turns in pieces of four characters, each with three scores (digits of its hash); a word has the label of its first piece."""
+    pieces = lambda w: F.transform(F.sequence(F.lit(0), F.length(w) - 1, F.lit(4)), lambda o: F.struct(F.substring(w, o + 1, F.lit(4)).alias("t"), o.alias("o")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.flatten(F.transform(X.words(F.col("text")), pieces)).alias("p"))
+    scores = lambda t: F.array(*[F.conv(F.substring(F.md5(t), k, 1), 16, 10).cast("double") for k in (1, 2, 3)])
+    rows = rows.select("conv_id", "turn", F.col("p.t").alias("t"), F.col("p.o").alias("o"), F.transform("p.t", scores).alias("z"))
+    return model.classified_tokens(rows, ["conv_id", "turn"], "t", "o", "z", ["person", "place", "none"])
+
+
+@query("F26", sql="""
+WITH n AS (SELECT lang, ['BertModel', 'RobertaForMaskedLM', 'AlbertModel', 'BartModel', 'ElectraForPreTraining', 'GPT2LMHeadModel', 'Perceiver'][doc_id % 7 + 1] AS class_name FROM documents)
+SELECT lang, class_name, ['bert', 'roberta', 'albert', 'model', 'electra', 'transformer'][list_position(['Bert', 'Robe', 'Albe', 'Bart', 'Elec', 'GPT2'], class_name[1:4])] AS attribute, count(*) AS docs FROM n GROUP BY ALL""")
+def model_families(spark, d):
+    names = F.array(*[F.lit(n) for n in ("BertModel", "RobertaForMaskedLM", "AlbertModel", "BartModel", "ElectraForPreTraining", "GPT2LMHeadModel", "Perceiver")])
+    rows = table(spark, d, "documents").select("lang", F.get(names, (F.col("doc_id") % 7).cast("int")).alias("class_name"))
+    return rows.groupBy("lang", "class_name").agg(F.count("*").alias("docs")).withColumn("attribute", model.family_attribute(F.col("class_name"), strict=False))
