@@ -30,8 +30,8 @@ def bio_label_ids(labels: DataFrame, already_bio: bool = False) -> DataFrame:
 
 
 def with_label_ids(rows: DataFrame, label: str, ids: DataFrame) -> DataFrame:
-    """``rows`` with ``label_id``; a label that has no id fails the job."""
-    joined = rows.join(F.broadcast(ids.select(F.col("label").alias(label), F.col("id").alias("label_id"))), label, "left")
+    """``rows`` with ``label_id``; a label that has no id fails the job.  Spark broadcasts the ids if they are few."""
+    joined = rows.join(ids.select(F.col("label").alias(label), F.col("id").alias("label_id")), label, "left")
     return joined.withColumn("label_id", F.when(F.col("label_id").isNull() & F.col(label).isNotNull(), F.raise_error(F.concat(F.lit("unknown label "), label))).otherwise(F.col("label_id")))
 
 

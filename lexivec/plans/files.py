@@ -250,3 +250,10 @@ def sink_vocabulary(spark, d):
     for words in (ids.withColumn("idx", F.col("idx") + 100), ids):  # the second replaces the first
         sinks.save_vocabulary(words, path)
     return spark.read.parquet(path)
+
+
+@query("S18", sql=f"WITH {_TALK} SELECT role AS split, conv_id, turn, md5(text) AS text, len(t) AS words FROM w")
+def scan_saved_dataset(spark, d):
+    path = fresh_path(spark, "dataset")
+    sinks.save_dataset(_talk(spark, d), "role", path)
+    return readers.saved_dataset(spark, path).select("split", "conv_id", "turn", F.md5("text").alias("text"), F.size("t").cast("long").alias("words"))

@@ -5,13 +5,16 @@ Every reader returns a lazy DataFrame with a declared schema; nothing is collect
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from lexivec.operators.relational import capped, first_per_group, select_fields
 
@@ -189,3 +192,47 @@ def with_word_vectors(vocabulary: DataFrame, vectors: DataFrame, width: int) ->
     return vocabulary.join(vectors.select("word", "vector"), "word", "left").select("word", "idx", F.coalesce("vector", zeros).alias("vector"))
 
 
+
+
+def saved_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all splits of a dataset folder with their ``split``: ``dataset_dict.json`` names the splits, ``state.json``
+    of each names its files of Arrow streams.  Other files there are not read.  A task holds one file (writers cut them,
+    at 500 MB as a rule).  A folder without ``dataset_dict.json`` is one split, ``train``."""
+    folder = folder.rstrip("/")
+    names = entries(spark, folder)
+    splits = [("train", folder)]
+    if "dataset_dict.json" in names:
+        splits = [(s, f"{folder}/{s}") for s in _settings(spark, f"{folder}/dataset_dict.json")["splits"]]
+    parts = []
+    for split, place in splits:
+        files = [f"{place}/{f['filename']}" for f in _settings(spark, f"{place}/state.json")["_data_files"]]
+        if files:
+            parts.append(_arrow_streams(spark, files).withColumn("split", F.lit(split)))
+    if not parts:
+        raise FileNotFoundError(f"no data files in {folder}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _settings(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def _arrow_streams(spark: SparkSession, files: list[str]) -> DataFrame:
+    def head(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                schema = pa.ipc.open_stream(pa.py_buffer(content.as_py())).schema
+                yield pa.RecordBatch.from_pydict({"schema": [schema.remove_metadata().serialize().to_pybytes()]})
+
+    def rows(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                for part in pa.ipc.open_stream(content.as_buffer()):
+                    yield part
+
+    contents = lambda paths: spark.read.format("binaryFile").load(paths).select("content")
+    found = contents(files[:1]).mapInArrow(head, "schema binary").first()[0]
+    return contents(files).mapInArrow(rows, from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(found)))))

@@ -7,9 +7,13 @@ behind, as Spark commits a table's files together.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,3 +128,37 @@ def distribute(spark: SparkSession, files: Iterable[str]) -> list[str]:
     for f in files:
         spark.sparkContext.addFile(f)
     return [f.rstrip("/").rsplit("/", 1)[-1] for f in files]
+
+
+def save_dataset(rows: DataFrame, split: str, folder: str) -> None:
+    """A dataset folder that ``readers.saved_dataset`` opens: ``rows`` by the values of ``split`` (few), each task a file of an Arrow
+    stream a split.  Names are new for each attempt, and ``state.json`` lists only those of tasks that succeeded."""
+    fields = [f for f in rows.schema.fields if f.name != split]
+
+    def write(batches):
+        store, root = FileSystem.from_uri(folder)
+        out = {}
+        for batch in batches:
+            plain = batch.select([f.name for f in fields])
+            for name in batch.column(split).unique().to_pylist():
+                if name not in out:
+                    store.create_dir(f"{root}/{name}")
+                    file = f"data-{uuid.uuid4().hex}.arrow"
+                    stream = store.open_output_stream(f"{root}/{name}/{file}")
+                    out[name] = (file, stream, pa.ipc.new_stream(stream, plain.schema))
+                out[name][2].write_batch(plain.filter(pc.equal(batch.column(split), name)))
+        for _, stream, writer in out.values():
+            writer.close()
+            stream.close()
+        yield pa.RecordBatch.from_pydict({"split": list(out), "file": [f for f, _, _ in out.values()]}, schema=pa.schema([("split", pa.string()), ("file", pa.string())]))
+
+    by_split: dict[str, list[str]] = {}
+    for r in rows.where(F.col(split).isNotNull()).mapInArrow(write, "split string, file string").collect():  # a row per file
+        by_split.setdefault(r.split, []).append(r.file)
+    store, root = FileSystem.from_uri(folder)
+    store.create_dir(root)
+    for name, files in by_split.items():
+        with store.open_output_stream(f"{root}/{name}/state.json") as f:
+            f.write(json.dumps({"_data_files": [{"filename": n} for n in sorted(files)], "_split": name}).encode())
+    with store.open_output_stream(f"{root}/dataset_dict.json") as f:
+        f.write(json.dumps({"splits": sorted(by_split)}).encode())

@@ -149,3 +149,21 @@ def test_shared_folder_and_clean_up(spark):
     far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://x", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *a: None))
     with pytest.raises(RuntimeError):
         storage.shared_folder(far)
+
+
+def test_saved_dataset_of_files_by_another_writer(spark, tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    schema = pa.schema([("i", pa.int64()), ("text", pa.string()), ("v", pa.list_(pa.float32()))])
+    for split, parts in {"train": [[1, 2], [3]], "test": [[]]}.items():
+        (tmp_path / split).mkdir()
+        for k, ids in enumerate([*parts, [99]]):  # the last file isn't in the list
+            with pa.ipc.new_stream(str(tmp_path / split / f"data-{k}.arrow"), schema) as out:
+                out.write_table(pa.table({"i": ids, "text": [None if i == 2 else f"t{i}" for i in ids], "v": [[0.5, i] for i in ids]}, schema))
+        (tmp_path / split / "state.json").write_text(json.dumps({"_data_files": [{"filename": f"data-{k}.arrow"} for k in range(len(parts))]}))
+    (tmp_path / "dataset_dict.json").write_text(json.dumps({"splits": ["train", "test"]}))
+    got = sorted((r["i"], r["text"], r["v"], r["split"]) for r in readers.saved_dataset(spark, f"file://{tmp_path}").collect())
+    assert got == [(1, "t1", [0.5, 1.0], "train"), (2, None, [0.5, 2.0], "train"), (3, "t3", [0.5, 3.0], "train")]
+    assert readers.saved_dataset(spark, f"file://{tmp_path}/train").count() == 3
