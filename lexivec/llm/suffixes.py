@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 from lexivec.llm.common import likely_in, spread, written
 
 SLICE = 4 << 20  # bytes of text that are cut into segments at once
+STRETCH = 1 << 17  # bytes of a slice whose anchors are looked for at once
+SEGMENTS = 1 << 18  # segments of a slice that are compared at once: all, unless it repeats one letter or the like
+ROWS = 1 << 14  # segments that are held as Python objects, and passed on, at once
 BLOCK = 1 << 20  # bytes of segments that are sorted at once
 FILTER_WORDS = 1 << 20  # longs in the bitmap of shared anchors
 PLACE = np.uint64((1 << 24) - 1)
@@ -74,13 +77,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def segments(x: np.ndarray, inside: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First string, number of strings, place of the anchor and its hash, of every segment of a buffer.
     ``inside`` tells for each place whether the string from there on is of one document."""
-    h = gram_hashes(x, gram)
-    best = sliding_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
-    anchor = np.where(inside, (best & PLACE).astype(np.int64), -1)
-    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    n = np.diff(np.r_[first, len(anchor)])
-    first, n = first[anchor[first] >= 0], n[anchor[first] >= 0]
-    return first, n, anchor[first], h[anchor[first]].view(np.int64)
+    found, before = [], -1
+    for low in range(0, len(inside), STRETCH):
+        here = inside[low : low + STRETCH]
+        h = gram_hashes(x[low : low + len(here) + length - 1], gram)
+        best = sliding_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
+        anchor = np.where(here, low + (best & PLACE).astype(np.int64), -1)
+        first = np.flatnonzero(anchor != np.r_[before, anchor[:-1]])  # a segment may go on from the last stretch
+        before = anchor[-1]
+        key = h[np.maximum(anchor[first] - low, 0)].view(np.int64)
+        found.append(((low + first).astype(np.int32), anchor[first].astype(np.int32), key))
+    first, anchor, key = map(np.concatenate, zip(*found, strict=True))
+    n = np.diff(np.r_[first, len(inside)]).astype(np.int64)
+    return tuple(c[anchor >= 0] for c in (first, n, anchor, key))
 
 
 def slices(batches: Iterator[pa.RecordBatch], length: int, piece: int) -> Iterator[list[tuple[int | None, int, int, bytes]]]:
@@ -105,11 +114,12 @@ def cut(parts: list[tuple[int | None, int, int, bytes]], length: int, gram: int)
     x = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
     size = np.array([len(p[3]) for p in parts])
     begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(parts)), size)[: len(x) - length + 1]
-    inside = np.arange(len(owner)) + length <= (begin + size)[owner]
+    strings = np.stack([size - length + 1, np.full(len(parts), length - 1)], axis=1).ravel()  # inside a part, and beyond its end
+    inside = np.repeat(np.tile([True, False], len(parts)), strings)[: len(x) - length + 1]
     with np.errstate(over="ignore"):
         first, n, anchor, key = segments(x, inside, length, gram)
-    return x, owner[first], first, n, anchor - first, key, first - begin[owner[first]]
+    owner = np.searchsorted(begin, first, side="right") - 1
+    return x, owner, first, n, anchor - first, key, first - begin[owner]
 
 
 def anchors(rows: DataFrame, length: int, gram: int, piece: int) -> DataFrame:
@@ -138,18 +148,32 @@ def dealt(rows: DataFrame, length: int, gram: int, piece: int) -> DataFrame:
     Of equal segments of one slice only the earliest has a body; the others are known to repeat."""
     names = [c.split(" ")[0] for c in ITEM.split(", ")]
 
+    def distinct(raw: bytes, identity: np.ndarray, first: np.ndarray, n: np.ndarray, a: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        end = first + n + length - 1
+        _, group, k = np.unique(key, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(k[group] > 1)  # equal segments have equal anchors
+        seen: dict[bytes, int] = {}
+        for low in range(0, len(several), ROWS):
+            at = several[low : low + ROWS]
+            group[at] = [len(k) + seen.setdefault(raw[i:j], len(seen)) for i, j in zip(first[at].tolist(), end[at].tolist(), strict=True)]
+        again, lead = repeats(group, identity)
+        leads = lead == np.arange(len(n))
+        wanted = np.flatnonzero(again | leads)  # rows that repeat id and text are one document
+        for low in range(0, len(wanted), ROWS):
+            at = wanted[low : low + ROWS]
+            body = [raw[i:j] if one else None for i, j, one in zip(first[at].tolist(), end[at].tolist(), leads[at].tolist(), strict=True)]
+            columns = [pa.array(c) for c in (key[at], *identity[:, at], n[at], a[at].astype(np.int32), (a[at] + gram).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(body, pa.binary())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in slices(batches, length, piece):
             x, part, first, n, a, key, start = cut(parts, length, gram)
             raw = x.tobytes()
-            bodies = pa.array([raw[i:j] for i, j in zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)], pa.binary())
             ids, hs, offset = (np.array([p[k] for p in parts], np.int64) for k in range(3))
-            identity = np.stack([ids[part], hs[part], start + offset[part]])
-            again, lead = repeats(bodies.dictionary_encode().indices.to_numpy(), identity)
-            bodies = bodies.take(pa.array(np.arange(len(n)), mask=again | (lead != np.arange(len(n)))))
-            again = again | (lead == np.arange(len(n)))  # rows that repeat id and text are one document
-            columns = [pa.array(c) for c in (key, *identity, n, a.astype(np.int32), (a + gram).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, bodies], names).filter(pa.array(again))
+            for low in range(0, len(n), SEGMENTS):
+                at = slice(low, low + SEGMENTS)
+                identity = np.stack([ids[part[at]], hs[part[at]], start[at] + offset[part[at]]])
+                yield from distinct(raw, identity, first[at], n[at], a[at], key[at])
 
     return rows.mapInArrow(run, ITEM)
 

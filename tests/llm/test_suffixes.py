@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from given_tables import DIR, rows
@@ -103,3 +105,55 @@ def test_two_stage_sorts_all_suffixes(alphabet):
 def test_kinds():
     x = np.frombuffer(b"banana\0", np.uint8)
     assert suffixes.kinds(x).tolist() == [False, True, False, True, False, False, True]
+
+
+class Plan:
+    """Stands for a table: gives the function that its tasks would run."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def batch_of(texts):
+    n = np.arange(len(texts))
+    return pa.RecordBatch.from_arrays([pa.array(n), pa.array(n + 7), pa.array(texts)], ["id", "h", "text"])
+
+
+def test_a_slice_of_text_is_dealt_in_little_memory():
+    letters = np.random.default_rng(4).integers(97, 123, suffixes.SLICE + 50_000, np.uint8).tobytes().decode()
+    texts = [letters[i : i + 4000] for i in range(0, len(letters), 4000)] + [letters[5000:6000]]
+    tracemalloc.start()
+    n = []
+    for out in suffixes.dealt(Plan(), 100, 32, suffixes.SLICE)(iter([batch_of(texts)])):
+        assert [str(c) for c in out.schema.types] == ["int64"] * 5 + ["int32"] * 2 + ["binary"]
+        n.append(out.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n) > 100_000
+    assert peak < 80e6  # an executor holds several such tasks
+    assert max(n) < 20_000
+
+
+@pytest.mark.parametrize("stretch, most", [(1, 1 << 18), (50, 7), (101, 100)])
+def test_stretches_give_the_same_segments(monkeypatch, stretch, most):
+    rng = random.Random(stretch)
+    texts = [t for t in made(rng, 30) if t]
+    parts = next(suffixes.slices(iter([batch_of(texts)]), 20, 1 << 20))
+    whole = suffixes.cut(parts, 20, 8)
+    items = [r for b in suffixes.dealt(Plan(), 20, 8, 1 << 20)(iter([batch_of(texts)])) for r in b.to_pylist()]
+    monkeypatch.setattr(suffixes, "STRETCH", stretch)
+    for a, b in zip(whole, suffixes.cut(parts, 20, 8), strict=True):
+        assert a.tolist() == b.tolist()
+    x, part, first, n, a, key, start = whole
+    with np.errstate(over="ignore"):
+        h = suffixes.gram_hashes(x, 8) & ~suffixes.PLACE
+    strings = [(p, i) for p, (*_, raw) in enumerate(parts) for i in range(len(raw) - 19)]
+    assert strings == [(p, i + k) for p, i, m in zip(part.tolist(), start.tolist(), n.tolist()) for k in range(m)]
+    for f, m, at in zip(first.tolist(), n.tolist(), a.tolist()):
+        assert {f + k + int(np.argmin(h[f + k : f + k + 13])) for k in range(m)} == {f + at}
+    # Fewer segments compared at once: the same rows, more of them with a body, and never without one that is earlier.
+    monkeypatch.setattr(suffixes, "SEGMENTS", most)
+    monkeypatch.setattr(suffixes, "ROWS", 5)
+    again = [r for b in suffixes.dealt(Plan(), 20, 8, 1 << 20)(iter([batch_of(texts)])) for r in b.to_pylist()]
+    assert [r | {"body": None} for r in again] == [r | {"body": None} for r in items]
+    assert all(b["body"] == a["body"] for a, b in zip(items, again, strict=True) if a["body"] is not None)
