@@ -4,7 +4,7 @@ Building: centres are taken from a bounded sample, each as far as can be from th
 to it.  Vectors lie on disk by ball (a folder each, cut into chunks of bounded size), with their ids and consecutive numbers.
 
 Searching: the cosine of a query with any vector of a ball is at most ``cos(max(0, angle to the centre - radius))``.  Each query visits balls in the order of
-that bound, twice as many each round, and stops when its k-th score beats the next bound: the result is that of
+that bound, twice as many each round, and stops when its k-th score beats the next bound (and what rounding may add to it): the result is that of
 comparing all rows.  Only the table of balls (``MOST_BALLS`` rows at most) reaches the driver.
 """
 
@@ -99,9 +99,9 @@ def stored(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/vectors").select("ball", "chunk", "vid", "id", "v"), balls)
 
 
-def search(index: Index, queries: DataFrame, k: int, *, id_column: str = "vec_id", vector: str = "embedding", first: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``query_id``, ``vec_id``, ``vid``, ``score``: the k largest cosines of each query, its own id excepted (ties: the smaller id);
-    and ``query_id``, ``visited``, how many rows of the index were compared with it."""
+def search(index: Index, queries: DataFrame, k: int, *, id_column: str = "vec_id", vector: str = "embedding", first: int = 2, digits: int = 12) -> tuple[DataFrame, DataFrame]:
+    """``query_id``, ``vec_id``, ``vid``, ``score``: the k largest cosines, rounded to ``digits``, of each query, its own id excepted (ties
+    of rounded scores: the smaller id); and ``query_id``, ``visited``, how many rows of the index were compared with it."""
     held = sorted(index.balls.collect(), key=lambda r: r.ball)  # MOST_BALLS rows at most
     asked = units(queries, id_column, vector).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     kind = asked.schema["query_id"].dataType.simpleString()
@@ -111,6 +111,8 @@ def search(index: Index, queries: DataFrame, k: int, *, id_column: str = "vec_id
     if not held:
         return found, seen
     c, radius = np.array([r.centre for r in held]), np.array([r.radius for r in held])
+    unit = 10.0**digits
+    slack = 1e-7 + 0.5 / unit  # angles near 0 are known to some 2e-8, and scores are rounded up by half a digit at most
     names, sizes, chunks = (np.array([r[x] for r in held]) for x in ("ball", "n", "chunks"))
 
     def asks_of(begin: int, end: int):
@@ -119,7 +121,7 @@ def search(index: Index, queries: DataFrame, k: int, *, id_column: str = "vec_id
                 for i in range(0, batch.num_rows, 1000):
                     part = batch.slice(i, 1000)
                     angle = np.arccos(np.clip(matrix(part.column(1), c.shape[1]) @ c.T, -1, 1))
-                    bound = np.cos(np.maximum(angle - radius, 0)) + 1e-9
+                    bound = np.cos(np.maximum(angle - radius, 0)) + slack
                     order = np.argsort(-bound, axis=1, kind="stable")[:, begin:end]
                     kth = part.column(2).to_numpy()
                     q, o = np.nonzero(np.take_along_axis(bound, order, 1) >= kth[:, None])
@@ -133,7 +135,8 @@ def search(index: Index, queries: DataFrame, k: int, *, id_column: str = "vec_id
         if not rows.num_rows or not asks.num_rows:
             return pa.table({"query_id": asks.column("query_id").slice(0, 0), "vec_id": asks.column("query_id").slice(0, 0), "vid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, vid, name = (t.column(x).to_numpy() for t, x in ((rows, "id"), (rows, "vid"), (asks, "query_id")))
-        s = np.round(matrix(asks.column("q").combine_chunks(), c.shape[1]) @ matrix(rows.column("v").combine_chunks(), c.shape[1]).T, 12)
+        s = matrix(asks.column("q").combine_chunks(), c.shape[1]) @ matrix(rows.column("v").combine_chunks(), c.shape[1]).T * unit
+        s = np.copysign(np.floor(np.abs(s) + 0.5), s) / unit  # halves away from zero, as SQL rounds
         s[name[:, None] == ids[None]] = -np.inf
         by_id = np.lexsort([vid, ids])
         order = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :k]]

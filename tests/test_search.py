@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexivec.operators import index, intervals, reading, vectors
+from lexivec.plans import catalog
 
 
 def table(spark, x, ids=None):
@@ -67,6 +69,17 @@ def test_index_of_few_rows(spark, tmp_path):
     assert by_query(index.search(one, table(spark, [[1.0, 2.0], [0.0, 0.0]], [0, 9]), 3)[0]) == {0: [(1, 0.8)]}
 
 
+def test_index_query_breaks_ties_of_rounded_scores_by_id(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(6, 8)), 50, axis=0) + 3e-4 * rng.normal(size=(300, 8))  # many scores differ beyond the sixth digit only
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["index_topk"](spark, str(tmp_path)).select("query_id", "vec_id", "vid", "score").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.oracle_sql()["index_topk"]).fetchall())
+    assert len(want) == 60 and got == want
+
+
 def spans_of(s, e, width, most):
     pairs = sorted((-(s[i] + e[j]), i, j) for i in range(len(s)) for j in range(i, min(i + width, len(s))))
     taken = []
