@@ -234,11 +234,14 @@ FROM documents GROUP BY ALL""")
 def sink_shards(spark, d):
     path = fresh_path(spark, "shards")
     docs = table(spark, d, "documents").select(
-        F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split"), (F.col("doc_id") % 16).cast("int").alias("shard"), F.filter(F.split("text", "\n"), lambda s: s != "").alias("s")
+        F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split"), (F.col("doc_id") % 16).cast("int").alias("shard"), F.filter(F.split("text", "\n"), lambda s: s != "").alias("s"), F.col("text").isNotNull().alias("text")
     )
     sinks.write_shards(docs, "s", path)
-    lines = spark.read.text(path).groupBy("split", "shard")
-    return lines.agg(F.count_if(F.col("value") == "").alias("docs"), F.count_if(F.col("value") != "").alias("sentences"))
+    lines = spark.read.schema("value string, split string, shard int").text(path, lineSep="\n").groupBy("split", "shard")
+    counts = lines.agg(F.count_if(F.col("value") == "").alias("docs"), F.count_if(F.col("value") != "").alias("sentences"), F.lit(False).alias("text"))
+    known = docs.groupBy("split", "shard").agg(F.lit(0).alias("docs"), F.lit(0).alias("sentences"), F.max("text").alias("text"))
+    both = counts.unionByName(known).groupBy("split", "shard")  # null texts alone have no number of sentences
+    return both.agg(F.sum("docs").alias("docs"), F.when(F.max("text"), F.sum("sentences")).alias("sentences"))
 
 
 @query("K12", "A8", sql="SELECT event_type AS word, row_number() OVER (ORDER BY event_type) - 1 AS idx FROM (SELECT DISTINCT event_type FROM events)")

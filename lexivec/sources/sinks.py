@@ -89,9 +89,10 @@ def write_lines(df: DataFrame, line: str, path: str) -> None:
 
 
 def write_shards(docs: DataFrame, sentences: str, path: str) -> None:
-    """Text files by ``split`` and ``shard``: a sentence a line, a blank line after each document.
-    Rows stream into their shard's file; no shard is gathered."""
-    body = F.concat(F.array_join(sentences, "\n"), F.lit("\n"))
+    """Text files by ``split`` and ``shard``: a sentence a line, a blank line after each document (nothing else of one without sentences).
+    Lines end with a line feed alone; sentences may hold carriage returns.  Rows stream into their shard's file; no shard is gathered."""
+    kept = F.filter(sentences, lambda s: s != "")
+    body = F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "\n"), F.lit("\n"))).otherwise("")
     rows = docs.select("split", "shard", body.alias("value")).repartition("split", "shard")
     rows.write.mode("overwrite").partitionBy("split", "shard").text(path)
 

@@ -3,11 +3,13 @@
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivec.operators.model import EncoderSpec, HashingEncoder
+from lexivec.plans import catalog
 from lexivec.sources import readers, sinks
 from lexivec.streaming import encode as streams
 
@@ -109,6 +111,17 @@ def test_search_sink(spark, tmp_path):
         sinks.search_documents(rows, "idx", ["text"], ["a", "b"])
 
 
+def test_shards_of_odd_texts_equal_sql(spark, tmp_path):
+    texts = ["a\rb\nc", "x\r\n\r\ny", "\r", "", "\n\n", "end\n", "\n start", None, "p\u2028q\x0bz\u0085w"]
+    rows = [(i, t) for i, t in enumerate(texts * 5)] + [(None, "lost\rid"), (-7, "less"), (1000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["sink_shards"](spark, str(tmp_path)).select("split", "shard", "docs", "sentences").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(catalog.oracle_sql()["sink_shards"]).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_shards_predictions_vocabulary(spark, tmp_path):
     docs = spark.createDataFrame([(["a", "b"], "train", 0), (["c"], "test", 1)], "s array<string>, split string, shard int")
     sinks.write_shards(docs, "s", str(tmp_path / "s"))
